@@ -23,13 +23,13 @@ def slots(digest: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(digest), F.lit(bits)), F.pmod(F.xxhash64(F.lit("second"), digest), F.lit(bits))]
 
 
-def repeated_slots(rows: DataFrame, digest: str, bits: int) -> DataFrame:
-    """Bit maps (map_no, bits) of the slots that two or more rows hit: at most bits / 32768 rows of 4 KiB."""
+def repeated_slots(rows: DataFrame, digest: str, bits: int, least: int = 2) -> DataFrame:
+    """Bit maps (map_no, bits) of the slots that ``least`` or more rows hit: at most bits / 32768 rows of 4 KiB."""
     hit = rows.select(F.explode(F.array_distinct(F.array(*slots(F.col(digest), bits)))).alias("slot"))
     return (
         hit.groupBy("slot")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        .where(F.col("n") >= least)
         .groupBy(F.bitmap_bucket_number("slot").alias("map_no"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map_bits"))
     )
