@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +43,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package wherever they run: its code is sent to them once."""
+    context = df.sparkSession.sparkContext
+    if not any(name.startswith("sluice-code") for name in context._python_includes):
+        package = Path(__file__).resolve().parents[1]
+        made = Path(tempfile.mkdtemp(prefix="sluice-code-")) / "sluice-code"
+        context.addPyFile(shutil.make_archive(str(made), "zip", package.parent, package.name))
+    return df.mapInArrow(function, schema)
+
+
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns cannot clash with those an operator adds."""
     return df.select(*[F.col(f"`{n}`") for n in names])
