@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bloom import BITS_PER_ROW, MAX_BITS, maybe_repeated, repeated_slots
+
 _local_dir: str | None = None
 
 
@@ -115,3 +117,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
+    """``docs`` with ``__in``: false only where doc_id is not in ``ids``, told by a broadcast bit map of bounded size."""
+    bits = power_of_two(total * BITS_PER_ROW, 16, MAX_BITS)
+    maps = repeated_slots(ids.select(F.xxhash64("doc_id").alias("__id_hash")), "__id_hash", bits, least=1)
+    return maybe_repeated(docs.withColumn("__id_hash", F.xxhash64("`doc_id`")), "__id_hash", maps, bits, "__in")
+
+
+def pick_ids(docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
+    """The rows of ``docs`` that may have one of ``ids`` (doc_id): all that have, and a small share of the others.
+
+    Rows are dropped where they are read, and none is shuffled.
+    """
+    return _by_ids(docs, ids, total).where("__in").drop("__in", "__id_hash")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``; only rows that the bit map does not clear are shuffled."""
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    told = _by_ids(docs, ids, ids.count())
+    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
+    rest = told.where("__in").join(gone, F.col("`doc_id`") == F.col("__gone"), "left_anti")
+    return told.where(~F.col("__in")).select(*names).unionByName(rest.select(*names))

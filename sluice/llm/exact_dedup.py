@@ -8,46 +8,12 @@ cap only the share of rows shuffled without need grows, never the error: the gro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BITS_PER_ROW, MAX_BITS, maybe_repeated, repeated_slots
 from .common import doc_columns, join_groups, materialise, power_of_two, text_or_empty
 
-#: Bits of the filter for each row, and the exponent of its largest size (2**31 bits are 256 MiB).
-BITS_PER_ROW = 16
-MAX_BITS = 31
-
-
-def slots(digest: Column, bits: int) -> list[Column]:
-    """Two independent slots in [0, bits) for a digest."""
-    return [F.pmod(F.xxhash64(digest), F.lit(bits)), F.pmod(F.xxhash64(F.lit("second"), digest), F.lit(bits))]
-
-
-def repeated_slots(rows: DataFrame, digest: str, bits: int, least: int = 2) -> DataFrame:
-    """Bit maps (map_no, bits) of the slots that ``least`` or more rows hit: at most bits / 32768 rows of 4 KiB."""
-    hit = rows.select(F.explode(F.array_distinct(F.array(*slots(F.col(digest), bits)))).alias("slot"))
-    return (
-        hit.groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= least)
-        .groupBy(F.bitmap_bucket_number("slot").alias("map_no"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map_bits"))
-    )
-
-
-def maybe_repeated(rows: DataFrame, digest: str, maps: DataFrame, bits: int, out: str) -> DataFrame:
-    """Add ``out``: false only where no other row can have the same digest."""
-    found = F.lit(True)
-    for i, slot in enumerate(slots(F.col(digest), bits)):
-        side = F.broadcast(maps.select(F.col("map_no").alias(f"__map{i}"), F.col("map_bits").alias(f"__bits{i}")))
-        rows = rows.withColumn(f"__slot{i}", slot)
-        rows = rows.join(side, F.bitmap_bucket_number(f"__slot{i}") == F.col(f"__map{i}"), "left")
-        at = F.bitmap_bit_position(f"__slot{i}")
-        byte = F.conv(F.hex(F.substring(f"__bits{i}", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        found = found & F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return rows.withColumn(out, found).drop(*[f"__{c}{i}" for i in range(2) for c in ("map", "bits", "slot")])
-
-
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -88,28 +54,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without its exact copies, all columns and their order kept; the rules are those of exact_dedup.
 
-    ``docs`` must give its rows in the same order each time it is read, as a Parquet table does. Rows that the filter
-    clears are passed on where they were read; of the rest, the texts that stay are found by joining row numbers.
+    Rows that the filter clears are passed on where they were read; only the others are shuffled. Of rows with the same
+    text and the same largest doc_id, any one stays.
     """
-    names = docs.columns
-    tagged = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = materialise(
-        tagged.select(
-            F.col("__row").alias("row_no"), F.col("`doc_id`").alias("doc_id"), F.sha2(text_or_empty("`text`").cast("binary"), 256).alias("digest")
-        ),
-        "digests",
-    )
-    total = rows.count()
-    bits = power_of_two(total * BITS_PER_ROW, 16, MAX_BITS)
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    digest = F.sha2(F.coalesce(F.col("`text`"), F.lit("")).cast("binary"), 256)
+    rows = materialise(docs.select(F.col("`doc_id`").alias("doc_id"), digest.alias("digest")), "digests")
+    bits = power_of_two(rows.count() * BITS_PER_ROW, 16, MAX_BITS)
     maps = materialise(repeated_slots(rows, "digest", bits), "maps")
     shared = maybe_repeated(rows, "digest", maps, bits, "maybe").where("maybe")
-    winners = (
-        shared.groupBy("digest").agg(F.max(F.struct("doc_id", "row_no")).alias("keep")).select(F.col("keep.row_no").alias("__keep"))
-    )
-    probed = maybe_repeated(
-        tagged.withColumn("__digest", F.sha2(text_or_empty("`text`").cast("binary"), 256)), "__digest", maps, bits, "__maybe"
-    )
-    alone = probed.where(~F.col("__maybe"))
-    stay = probed.where("__maybe").join(winners, F.col("__row") == F.col("__keep"), "left_semi")
-    picked = [F.col(f"`{n}`") for n in names]
-    return alone.select(*picked).unionByName(stay.select(*picked))
+    winners = shared.groupBy(F.col("digest").alias("__won")).agg(F.max("doc_id").alias("__keep"))
+    probed = maybe_repeated(docs.withColumn("__digest", digest), "__digest", maps, bits, "__maybe")
+    won = (F.col("__digest") == F.col("__won")) & F.col("doc_id").eqNullSafe(F.col("__keep"))
+    stay = probed.where("__maybe").join(winners, won, "left_semi").dropDuplicates(["__digest"])
+    return probed.where(~F.col("__maybe")).select(*names).unionByName(stay.select(*names))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, language_id, mixing, packing, url_filter
+from . import exact_dedup, fingerprints, language_id, mixing, near_dup, packing, url_filter
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_fingerprints": op4_fingerprints,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op9_exact_dedup": op9_exact_dedup,
