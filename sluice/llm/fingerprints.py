@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bloom import BITS_PER_ROW, MAX_BITS, maybe_repeated, repeated_slots
 from .common import doc_columns, join_groups, materialise, power_of_two, text_or_empty
-from .exact_dedup import BITS_PER_ROW, MAX_BITS, maybe_repeated, repeated_slots
 
 #: Documents in one stretch of the id order, and the most stretches whose bounds the driver holds (two longs each).
 STRETCH_ROWS = 1_000
@@ -52,7 +52,7 @@ def _stretch(bounds: list[int], key: Column) -> Column:
     inside = F.when(
         block < len(blocks), F.size(F.filter(F.get(table, block), lambda x: x < key))
     ).otherwise(0)
-    return (block * step + inside).cast("int")
+    return F.least(block * step + inside, F.lit(len(bounds))).cast("int")
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
