@@ -40,4 +40,23 @@ with g as (select doc_id, coalesce(text, '') as t, row_number() over (partition
 select doc_id, keep_id, group_size, r = 1 as kept, sha256(t) as text_sha256 from g
 """
 
-ORACLES = {"op7_mixing": OP7, "op9_exact_dedup": OP9}
+OP3 = r"""
+with rows as (select conv_id, turn::bigint as turn, role, coalesce(text, '') as text from conversations),
+calls as (select conv_id, 'call_' || turn as call_id, turn,
+                 case when role = 'system' then 'set_context' else 'ask' end as tool, text,
+                 len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::bigint as words
+          from rows where role in ('system', 'user')),
+results as (select conv_id, 'call_' || (turn - 1) as call_id, min(text) as content from rows where role = 'assistant' group by all),
+steps as (select *, row_number() over (partition by conv_id order by turn) - 1 as step from calls)
+select coalesce(s.conv_id, r.conv_id) as conv_id, coalesce(s.call_id, r.call_id) as call_id, step,
+       case when s.call_id is null then 'no_call' when r.call_id is null then 'no_result' else 'ok' end as status,
+       null::varchar as error,
+       '{' || case when s.call_id is null then '' else '"arguments":{"text":' || to_json(s.text)::varchar
+              || case when tool = 'ask' then ',"words":' || words else '' end || '},' end
+       || '"id":"' || coalesce(s.call_id, r.call_id) || '"'
+       || case when r.call_id is null then '' else ',"result":' || to_json(r.content)::varchar end
+       || case when s.call_id is null then '' else ',"tool":"' || tool || '"' end || '}' as message
+from steps s full outer join results r on s.conv_id = r.conv_id and s.call_id = r.call_id
+"""
+
+ORACLES = {"op3_tool_calls": OP3, "op7_mixing": OP7, "op9_exact_dedup": OP9}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, language_id, mixing, near_dup, packing, url_filter
+from . import exact_dedup, fingerprints, language_id, line_dedup, mixing, near_dup, packing, tool_calls, url_filter
 from .common import read
 
 
@@ -14,6 +14,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.chat_calls(read(spark, sf_dir, "conversations")), tool_calls.CHAT_TOOLS)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_tool_calls": op3_tool_calls,
     "op4_fingerprints": op4_fingerprints,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
