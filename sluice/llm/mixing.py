@@ -56,6 +56,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     has size 0; a null source is a source of its own; ties go by doc_id, then by text. Repeated rows count each.
     An empty table gives an empty result; sources of size 0 have target 0. Extra columns are ignored.
     """
+    return _decisions(docs, weights, max_repeats, seed).drop("tie")
+
+
+def _decisions(docs: DataFrame, weights: Sequence[float], max_repeats: int, seed: str) -> DataFrame:
     rows = materialise(
         doc_columns(docs, "doc_id", "text", "source").select(
             "doc_id",
@@ -86,5 +90,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
                 F.lit(max_repeats),
             ).cast("long"),
         )
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "tie")
+    )
+
+
+def resample(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` copies it, with all columns of ``docs``.
+
+    Of rows with the same doc_id and text, one stands for all and is emitted as often as all together.
+    """
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    asked = (
+        _decisions(docs, weights, max_repeats, seed)
+        .groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"))
+        .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+        .where("__copies > 0")
+    )
+    found = docs.withColumn("__own", F.xxhash64("`text`")).join(
+        asked, F.col("`doc_id`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tie"))
     )
+    once = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates(["__id", "__tie"]))
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*names)

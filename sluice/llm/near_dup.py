@@ -63,14 +63,19 @@ def _constants() -> dict[str, np.ndarray]:
     return _state
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """One hash for each word in order; words are runs of ASCII letters, digits and other characters, lower-cased."""
+def word_hashes(text: str, prefix: int = 0) -> np.ndarray:
+    """One hash for each word in order; words are runs of ASCII letters, digits and other characters, lower-cased.
+
+    With ``prefix``, of the first so many bytes of each word.
+    """
     k = _constants()
     raw = (" " + text.lower() + " ").encode("utf-8", "replace").translate(_WORD_BYTES)
     data = np.frombuffer(raw, np.uint8)
     word = data != _SPACE
     edges = np.flatnonzero(word[1:] != word[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):  # whole words, at most a chunk of bytes; a longer word is hashed by itself
