@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, running_sum
 
-#: Rounds of reordering; calls that still move after them depend on each other and are reported.
+#: Rounds of reordering. If calls still move after them, those pushed half as often or more depend on each other (or on
+#: a chain of forward references as long) and are reported.
 MAX_ROUNDS = 40
 #: Turns in a bucket of the numbering, so that a very long conversation is many tasks.
 BUCKET_TURNS = 10_000
@@ -53,7 +54,7 @@ def ordered(calls: DataFrame, links: DataFrame) -> DataFrame:
     ``links`` (conv_id, call_id, needs) may name calls that do not exist; those ask for nothing.
     """
     ids = materialise(calls.select("conv_id", "call_id", F.col("turn").alias("ready"), F.lit(0).alias("hops")), "ranks")
-    moving = None
+    loops = F.lit(False)
     # a dependency on an earlier turn is met by the order of turns, unless that call itself moves back
     pairs = materialise(links.select("conv_id", "call_id", F.col("needs")).distinct(), "needs")
     for _ in range(MAX_ROUNDS):
@@ -67,10 +68,11 @@ def ordered(calls: DataFrame, links: DataFrame) -> DataFrame:
             ),
             "ranks",
         )
-        moving = ids.where("moved").select("conv_id", "call_id")
-        if moving.isEmpty():
+        if ids.where("moved").isEmpty():
             break
-    return calls.join(ids.select("conv_id", "call_id", "ready", "hops", F.col("moved").alias("looped")), ["conv_id", "call_id"])
+    else:
+        loops = F.col("hops") >= MAX_ROUNDS // 2
+    return calls.join(ids.select("conv_id", "call_id", "ready", "hops", loops.alias("looped")), ["conv_id", "call_id"])
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
