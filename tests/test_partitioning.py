@@ -1,0 +1,87 @@
+import uuid
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sluice.errors import ColumnNotFound, MultipleColumnsFound, PartitionError
+from sluice.functions.partitioning import MAX_UINT32, Failing, IntegerRange, StringHash, fnv1, interval, partition_key
+
+# hashes that the reference formula gives
+HASHES = {"abc123": 3613024805, "bca": 479834957, "cab": 983016365, "": 2166136261, "日本é": 514773117}
+
+
+def fnv(text):
+    h = 2166136261
+    for b in text.encode():
+        h = h * 16777619 % 2**32 ^ b
+    return h
+
+
+def test_hash_vectors(spark):
+    rows = spark.createDataFrame([(k,) for k in HASHES], "s string").select("s", fnv1(F.col("s")).alias("h")).collect()
+    assert {r.s: r.h for r in rows} == HASHES
+
+
+@pytest.mark.parametrize(("count", "want"), [(10, [8, 1, 2]), (1, [0, 0, 0]), (2, [1, 0, 0])])
+def test_hash_buckets(spark, count, want):
+    rows = spark.createDataFrame([("abc123",), ("bca",), ("cab",)], "a string")
+    assert [r.b for r in rows.select(StringHash(count).bucket(F.col("a")).alias("b")).collect()] == want
+
+
+def test_many_random_strings(spark):
+    names = [str(uuid.uuid4()) for _ in range(5000)]
+    rows = spark.createDataFrame([(n,) for n in names], "a string").select("a", StringHash(10).bucket(F.col("a")).alias("b")).collect()
+    step = MAX_UINT32 // 10
+    assert all(r.b == min(fnv(r.a) // step, 9) for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("count", "values", "want"),
+    [
+        (10, [0, 1, MAX_UINT32 // 2 - 3, MAX_UINT32 // 2, MAX_UINT32], [0, 0, 4, 5, 9]),
+        (2, [0, 1, MAX_UINT32 // 2 - 1, MAX_UINT32 // 2, MAX_UINT32], [0, 0, 0, 1, 1]),
+    ],
+)
+def test_intervals(spark, count, values, want):
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select(interval(F.col("v"), count).alias("i"))
+    assert [r.i for r in rows.collect()] == want
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=30), st.integers(1, 10**9))
+def test_integer_ranges(spark, values, width):
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select(IntegerRange(width).bucket(F.col("v")).alias("b")).collect()
+    assert [r.b for r in rows] == [(abs(v) // width * (-1 if v < 0 else 1)) % 2**32 for v in values]
+
+
+def test_demo_table_buckets(spark):
+    rows = spark.createDataFrame([(v,) for v in (1, 2, 3, 4, 10, 20, 29, 35, 36, 37)], "v int")
+    assert [r.k for r in rows.select(partition_key(rows, [("v", IntegerRange(10))]).alias("k")).collect()] == list("0000122333")
+
+
+def test_options_are_checked(spark):
+    rows = spark.createDataFrame([(1, "a", 2)], "n int, s string, b tinyint")
+    for name, strategy in (
+        ("n", IntegerRange(0)),
+        ("b", IntegerRange(200)),
+        ("s", IntegerRange(5)),
+        ("s", StringHash(0)),
+        ("s", StringHash(2**32)),
+        ("s", StringHash(5, "other")),
+        ("n", StringHash(5)),
+        ("n", Failing()),
+    ):
+        with pytest.raises(PartitionError):
+            partition_key(rows, [(name, strategy)])
+    with pytest.raises(PartitionError):
+        partition_key(rows, [])
+    with pytest.raises(ColumnNotFound):
+        partition_key(rows, [("other", IntegerRange(5))])
+    with pytest.raises(MultipleColumnsFound):
+        partition_key(rows.toDF("n", "n", "b"), [("n", IntegerRange(5))])
+    with pytest.raises(PartitionError):
+        Failing().bucket(F.lit(1))
+    IntegerRange(100).validate(T.ByteType())
