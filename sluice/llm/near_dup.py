@@ -105,6 +105,7 @@ def shingles(text: str) -> np.ndarray:
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
+    """HASHES MinHash values of 32 bits."""
     odd = _constants()["minhash"]
     best = np.full(HASHES, 0xFFFFFFFF, np.uint64)
     for i in range(0, len(grams), 2048):
@@ -125,6 +126,11 @@ def set_digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def short(sig: np.ndarray) -> bytes:
+    """A signature's last bytes: different values agree in 1 of 256, which can only let more pairs through the pruning."""
+    return (sig & np.uint32(0xFF)).astype(np.uint8).tobytes()
+
+
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashes: int = HASHES, step: int = STEP) -> list[int]:
     """After each step, the fewest matches at which P(similarity >= threshold) is still at the tolerance.
 
@@ -180,7 +186,7 @@ def candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch, begin in groups_of(batches, ("key", "blocks")):
         rep, size = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
         first, cross = batch.column("first").to_numpy(zero_copy_only=False), batch.column("cross").to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
         left, right = [], []
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             labels = np.arange(b - a)
@@ -238,6 +244,8 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep, copies = batch.column("rep").to_numpy(), batch.column("copies").to_numpy()
         first, cross = batch.column("first").to_numpy(zero_copy_only=False), batch.column("cross").to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(x, np.uint64) for x in batch.column("grams").to_pylist()]
+        again = np.append(False, rep[1:] == rep[:-1])  # a document that the table holds more than once
+        again[begin[:-1]] = False
         out: list[list[int]] = [[], [], []]
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             if b - a < 2:
@@ -249,6 +257,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.fill_diagonal(near, False)
             if cross[a]:
                 near &= first[a:b, None] != first[a:b]
+            near[again[a:b]] = near[:, again[a:b]] = False
             links = near @ copies[a:b]
             labels = np.arange(b - a)
             for i in np.flatnonzero(links).tolist():
@@ -277,7 +286,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 keys = band_keys(np.stack(sigs))
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in sigs], pa.binary()), bands],
+                    [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array([short(s) for s in sigs], pa.binary()), bands],
                     ["doc_id", "digest", "n", "sig", "bands"],
                 )
 
@@ -286,15 +295,22 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def with_grams(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, grams): the 5-gram set itself."""
+    """(doc_id, digest, grams): the 5-gram set itself; of rows read together with one doc_id and one set, the first."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                grams = [shingles(t or "") for t in part.column("text").to_pylist()]
+                found: dict[tuple[int | None, bytes], np.ndarray] = {}
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    grams = shingles(text or "")
+                    found.setdefault((doc_id, set_digest(grams)), grams)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([set_digest(g) for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())],
+                    [
+                        pa.array([d for d, _ in found], pa.int64()),
+                        pa.array([g for _, g in found], pa.binary()),
+                        pa.array([g.tobytes() for g in found.values()], pa.binary()),
+                    ],
                     ["doc_id", "digest", "grams"],
                 )
 
@@ -349,25 +365,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("row_no").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")),
         "representatives",
     )
-    own = groups.select("rep", "copies")
-    reps = materialise(
-        sketches.select(F.col("row_no").alias("rep"), "doc_id", "digest", "n", "sig", "bands").join(own, "rep"), "signatures"
-    )
-    total = reps.count()
-    banded = reps.select(F.explode("bands").alias("key"), "rep")
-    met = in_blocks(banded, total * BANDS).join(reps.select("rep", "n", "sig"), "rep")
+    total = groups.count()
+    signed = sketches.select(F.col("row_no").alias("rep"), "n", "sig", "bands")
+    banded = signed.select("rep", "bands").join(groups.select("rep"), "rep", "left_semi").select(F.explode("bands").alias("key"), "rep")
+    met = in_blocks(banded, total * BANDS).join(signed.select("rep", "n", "sig"), "rep")
     met = met.repartition("key", "blocks").sortWithinPartitions("key", "blocks", "rep")
     parts = components(map_batches(met, candidate_edges, "a bigint, b bigint"))
-    joined = materialise(parts.join(reps.select(F.col("rep").alias("node"), "doc_id", "digest", "copies"), "node"), "parts")
-    picked = with_grams(pick_ids(doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), joined.select("doc_id"), total))
-    sets = (
-        picked.join(joined.select(F.col("node").alias("rep"), F.col("doc_id").alias("own_id"), "digest", "copies"), "digest")
-        .where(F.col("doc_id").eqNullSafe(F.col("own_id")))
-        .dropDuplicates(["rep"])
-        .select("rep", "copies", "grams")
-    )
-    dealt = in_blocks(joined.select(F.col("label").alias("key"), F.col("node").alias("rep")), total).join(sets, "rep")
-    dealt = dealt.repartition("key", "blocks").sortWithinPartitions("key", "blocks", "rep")
+    named = sketches.select(F.col("row_no").alias("node"), F.col("doc_id").alias("own_id"), "digest")
+    joined = materialise(parts.join(groups.select(F.col("rep").alias("node"), "copies"), "node").join(named, "node"), "parts")
+    dealt = in_blocks(joined.select(F.col("label").alias("key"), F.col("node").alias("rep")), total)
+    placed = dealt.join(joined.select(F.col("node").alias("rep"), "copies", "own_id", F.col("digest").alias("own_digest")), "rep")
+    texts = doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    sets = with_grams(pick_ids(texts, joined.select(F.col("own_id").alias("doc_id")), total))
+    held = placed.join(sets, (F.col("own_digest") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+    held = held.select("key", "blocks", "rep", "first", "cross", "copies", "grams")
+    dealt = held.repartition("key", "blocks").sortWithinPartitions("key", "blocks", "rep")
     counted = materialise(map_batches(dealt, verified, "rep bigint, links bigint, root bigint"), "links")
     classes = components(counted.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
