@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost no recompute.
 
     The folder is removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     jvm = spark._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

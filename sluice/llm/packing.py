@@ -168,7 +168,7 @@ def pack(
     its own; every document of the table is packed, repeated rows too. An empty table gives an empty result. Extra
     columns are ignored.
     """
-    tokens = materialise(tokenise(docs, path).withColumn("row_no", F.monotonically_increasing_id()), "tokens")
+    tokens = materialise(tokenise(docs, path).withColumn("row_no", F.monotonically_increasing_id()), "tokens", "zstd")
     slim = tokens.select("row_no", "source_key", "doc_tokens")
     count, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
     parts = max(1, -(-count // BUCKET_ROWS))
