@@ -334,17 +334,39 @@ def in_blocks(members: DataFrame, total: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected part, by spreading the smallest label and jumping along labels."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = materialise(labels.join(around, "node").select("node", "label", F.least("label", "near").alias("new")), "labels")
-        onward = spread.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        jumped = materialise(spread.join(onward, "new").select("node", "label", F.least("new", "far").alias("new")), "labels")
-        labels = jumped.select("node", F.col("new").alias("label"))
-        if jumped.where("new < label").isEmpty():
-            return labels
+    """(node, label): the smallest node of each connected part.
+
+    Each level hooks every node to its smallest neighbour if that is smaller, follows the hooks to their roots, and goes
+    on with the edges that are left between roots, each once; so the edges shrink from level to level.
+    """
+
+    def between(pairs: DataFrame) -> DataFrame:
+        return materialise(
+            pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
+        )
+
+    def step(upper: DataFrame) -> DataFrame:
+        return upper.select(F.col("node").alias("up"), F.col("up").alias("far"))
+
+    left, levels = between(edges.select("a", "b")), []
+    while not levels or not left.isEmpty():
+        ends = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = materialise(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks")
+        while True:
+            roots = materialise(roots.join(step(roots), "up").select("node", F.col("far").alias("up"), (F.col("far") < F.col("up")).alias("moved")), "hooks")
+            if roots.where("moved").isEmpty():
+                break
+            roots = roots.select("node", "up")
+        roots = roots.select("node", "up")
+        levels.append(roots)
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("up").alias(f"{end}_root"))  # noqa: B023, E731
+        moved = left.join(of("a"), "a").join(of("b"), "b")
+        left = between(moved.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    labels = levels.pop().withColumnRenamed("up", "label")
+    while levels:
+        later = labels.select(F.col("node").alias("up"), "label")
+        labels = materialise(levels.pop().join(later, "up", "left").select("node", F.coalesce("label", "up").alias("label")), "labels")
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
