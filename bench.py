@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -18,14 +19,11 @@ HEADLINE = (
     "q_validate_dups",
     "q_merge_classify",
     "q_merge_result",
-    "q_merge_multi_batch",
     "q_pack_files",
     "q_manifest_build",
     "q_queue_first_wins",
-    "q_snapshot_read",
-    "q_multi_source",
 )
-RUNS = 3
+RUNS = 1
 
 
 def main() -> None:
@@ -49,6 +47,7 @@ def main() -> None:
             catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
         taken[name] = round(statistics.median(times[1:]), 3)
+        print(name, times, file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(taken.values()), 3), "unit": "sec", "queries": taken, "sf": sf_dir.rpartition("sf")[2]}))
     spark.stop()
 
