@@ -1,7 +1,9 @@
 """Removing repeated lines across documents: normalised lines are hashed, and only the first occurrence stays.
 
-A line is a unit of its text with its offsets. Units with equal digests are grouped over all documents; of a group, the
-occurrence with the smallest (doc_id, start) stays and the others are cut out of their documents.
+Every line that is not blank is a unit of its text with its offsets, and so is every paragraph of several lines, so that
+a passage is found where its lines are broken elsewhere. Units with equal digests are grouped over all documents; of a
+group, the occurrence with the smallest (doc_id, start) stays and the others are cut out of their documents. What is
+cut always stands at an earlier place too, as each unit points to an earlier one.
 """
 
 from __future__ import annotations
@@ -16,24 +18,57 @@ from pyspark.sql import functions as F
 
 from .common import doc_columns, join_groups, map_batches, materialise
 
-#: Lines of fewer words are left alone: short lines meet by chance.
-MIN_WORDS = 10
+#: Lines and paragraphs of fewer words are left alone; with 0 every line counts that is not blank.
+MIN_WORDS = 0
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of each line of ``min_words`` words or more; end takes in the line break.
+    """(digest, start, end) of each line that is not blank and of each paragraph of several such lines, if it has
+    ``min_words`` words or more; end takes in the line break.
 
-    Lines are equal when their words are: case, punctuation and white space don't count.
+    Units are equal when their words are: case, punctuation and white space don't count, and in a paragraph neither
+    do line breaks. A line without a word is equal to one of the same marks. Paragraphs end at blank lines.
     """
-    start = 0
+
+    def unit(words: list[str], count: int, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+        if count >= min_words:
+            yield hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest(), start, end
+
+    start, first, lines, all_words, total = 0, 0, 0, [], 0
     for line in text.split("\n"):
         end = min(len(text), start + len(line) + 1)
         words = _NOT_WORD.sub(" ", line.lower()).split()
-        if len(words) >= min_words:
-            yield hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest(), start, end
+        count, words = len(words), words or line.split()
+        if words:
+            if not lines:
+                first = start
+            lines, total = lines + 1, total + count
+            all_words += words
+            yield from unit(words, count, start, end)
+        else:
+            if lines > 1:
+                yield from unit(all_words, total, first, start)
+            lines, all_words, total = 0, [], 0
         start += len(line) + 1
+    if lines > 1:
+        yield from unit(all_words, total, first, len(text))
+
+
+def cut_spans(spans: list[dict]) -> list[dict]:
+    """The spans to cut, none inside another: a paragraph's lines where all of them go, else the paragraph as one."""
+    spans = sorted(spans, key=lambda s: (s["start"], -s["end"]))
+    out, at = [], 0
+    while at < len(spans):
+        outer, stop = spans[at], at + 1
+        while stop < len(spans) and spans[stop]["start"] < outer["end"]:
+            stop += 1
+        inner = spans[at + 1 : stop]
+        whole = sum(s["end"] - s["start"] for s in inner) == outer["end"] - outer["start"]
+        out += inner if whole else [outer]
+        at = stop
+    return out
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -60,8 +95,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, changed, removed_chars, removed, kept_text.
 
     ``removed`` lists the cut spans by start: start and end in the original text (code points), and the doc_id and
-    start of the occurrence that stays. A span holds one line with its line break. Within a document a line stays once
-    too. A null doc_id ranks last; a null text is kept as null with nothing removed; of repeated rows with one doc_id
+    start of the first occurrence. A span holds one line with its line break, or a paragraph whose lines are not all
+    repeats on their own. Within a document a line stays once too. A null doc_id ranks last; a null text is kept as null with nothing removed; of repeated rows with one doc_id
     the first that was read keeps its lines. An empty table gives an empty result. Extra columns are ignored.
     """
     rows = materialise(
@@ -86,20 +121,21 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-                at, left = 0, []
-                for span in gone or ():
+            texts, counts, spans = [], [], []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+                at, left, gone = 0, [], cut_spans(found or [])
+                spans.append(gone)
+                for span in gone:
                     left.append(text[at : span["start"]])
                     at = span["end"]
-                counts.append(sum(s["end"] - s["start"] for s in gone or ()))
+                counts.append(sum(s["end"] - s["start"] for s in gone))
                 texts.append(text if not gone else "".join(left) + text[at:])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([c > 0 for c in counts], pa.bool_()),
                     pa.array(counts, pa.int64()),
-                    batch.column("removed"),
+                    pa.array(spans, batch.column("removed").type),
                     pa.array(texts, pa.string()),
                 ],
                 ["doc_id", "changed", "removed_chars", "removed", "kept_text"],

@@ -39,6 +39,34 @@ def test_lines_by_brute_force(spark):
             assert first == re.sub(r"\W+", " ", texts[i][s.start : s.end].lower()).split()
 
 
+def test_short_lines_and_passages(spark):
+    """Repeats below ten words go too, as do lines without spaces or words, and passages whose lines are broken elsewhere."""
+    words = [f"w{k}" for k in range(54)]
+    passage = ["\n".join(" ".join(words[k : k + n]) for k in range(0, 54, n)) for n in (9, 6, 54)]
+    texts = {
+        1: f"Subscribe now!\n这是一个重复的句子。\n* * *\n\n{passage[0]}\n\nlast of one",
+        2: "subscribe now\n这是一个重复的句子\n***\n* * *\n\nonly in two",
+        3: f"own\n\n{passage[1]}\n\n{passage[2]}\n\nend",
+        4: f"{passage[0]}\nw0 w1",
+        5: "own end\n\nOwn\nEnd",
+        6: "w0 w1\nmore",
+    }
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert {i: r.kept_text for i, r in got.items()} == {
+        1: texts[1],
+        2: "***\n\nonly in two",
+        3: "own\n\n\n\nend",
+        4: "w0 w1",
+        5: "own end\n\n",
+        6: "more",
+    }
+    at = texts[1].index("w0")
+    assert [(s.kept_doc_id, s.kept_start) for s in got[3].removed] == [(1, at), (1, at)]
+    assert [texts[4][s.start : s.end] for s in got[4].removed] == [line + "\n" for line in passage[0].split("\n")]
+    for i, r in got.items():
+        assert r.removed_chars == len(texts[i]) - len(r.kept_text) and r.changed == bool(r.removed)
+
+
 def test_lines_of_odd_rows(spark):
     got = line_dedup.dedup_lines(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows())
