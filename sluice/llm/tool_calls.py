@@ -1,8 +1,9 @@
 """Linking tool calls with their results in conversations; DataFrame functions only.
 
 Calls and results meet in a hash join by (conv_id, call_id). A call stands after all calls it depends on: its rank is
-the larger of (its own turn, 0) and (rank of a dependency, one more hop), spread along the dependencies until nothing
-changes. Dependencies that point back in time change nothing, so only references forward cost rounds.
+the larger of (its own turn, 0) and (rank of a dependency, one more hop). Dependencies that point back in time change
+nothing, so only the stretches of turns that references forward span are ranked, by peeling: a call gets its rank once
+all it needs there have theirs. That ends by itself, and the calls that are left are on a loop or behind one.
 """
 
 from __future__ import annotations
@@ -12,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, running_sum
 
-#: Rounds of reordering. If calls still move after them, those pushed half as often or more depend on each other (or on
-#: a chain of forward references as long) and are reported.
-MAX_ROUNDS = 40
 #: Turns in a bucket of the numbering, so that a very long conversation is many tasks.
 BUCKET_TURNS = 10_000
 
@@ -48,31 +46,72 @@ def argument_error(tool: Column, arguments: Column, schemas: Schema) -> Column:
     return out
 
 
+def stretches(calls: DataFrame, ahead: DataFrame) -> DataFrame:
+    """(conv_id, call_id, turn, stretch): the calls at turns that references forward span; overlapping spans are one.
+
+    ``ahead``: conv_id, turn and needs_turn of each reference forward. No reference forward leaves a stretch.
+    """
+    none = F.lit(None).cast(calls.schema["call_id"].dataType)
+    ends = [
+        ahead.groupBy("conv_id", F.col(column).alias("turn"))
+        .agg((F.count(F.lit(1)) * sign).alias("step"))
+        .select("conv_id", "turn", none.alias("call_id"), F.lit(kind).alias("kind"), "step")
+        for column, kind, sign in (("turn", 0, 1), ("needs_turn", 2, -1))
+    ]
+    between = calls.select("conv_id", "turn", "call_id", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("step"))
+    points = ends[0].unionByName(ends[1]).unionByName(between)
+    keyed = points.withColumn("conv_key", F.col("conv_id").cast("string")).withColumn("turn_bucket", F.floor(F.col("turn") / BUCKET_TURNS))
+    order = [F.asc("turn"), F.asc("kind"), F.asc("call_id")]
+    inside = running_sum(keyed, "conv_key", "turn_bucket", order, F.col("step"), "open")
+    opens = ((F.col("kind") == 0) & (F.col("open") == 0)).cast("long")
+    numbered = running_sum(inside, "conv_key", "turn_bucket", order, opens, "stretch")
+    return numbered.where("kind = 1 and open > 0").select("conv_id", "call_id", "turn", "stretch")
+
+
 def ordered(calls: DataFrame, links: DataFrame) -> DataFrame:
-    """``calls`` with ``ready`` and ``hops``, their rank in the conversation, and ``looped``.
+    """``calls`` with ``ready`` and ``hops``, their rank in the conversation, and ``looped``: on a loop or behind one.
 
-    ``links`` (conv_id, call_id, needs) may name calls that do not exist; those ask for nothing.
+    ``links`` (conv_id, call_id, turn, needs) may name calls that do not exist; those ask for nothing. Rounds are as
+    many as the longest chain of needs inside a stretch and, where there are loops, behind them.
     """
-    ids = materialise(calls.select("conv_id", "call_id", F.col("turn").alias("ready"), F.lit(0).alias("hops")), "ranks")
-    loops = F.lit(False)
-    # a dependency on an earlier turn is met by the order of turns, unless that call itself moves back
-    pairs = materialise(links.select("conv_id", "call_id", F.col("needs")).distinct(), "needs")
-    for _ in range(MAX_ROUNDS):
-        source = ids.select("conv_id", F.col("call_id").alias("needs"), F.col("ready").alias("r"), (F.col("hops") + 1).alias("h"))
-        asked = pairs.join(source, ["conv_id", "needs"]).groupBy("conv_id", "call_id").agg(F.max(F.struct("r", "h")).alias("asked"))
+    key = ["conv_id", "call_id"]
+    needed = calls.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
+    pairs = materialise(links.distinct().join(needed, ["conv_id", "needs"]), "needs")
+    ahead = pairs.where("needs_turn >= turn")
+    if ahead.isEmpty():
+        return calls.withColumn("ready", F.col("turn")).withColumn("hops", F.lit(0)).withColumn("looped", F.lit(False))
+    placed = materialise(stretches(calls, ahead), "stretches")
+    theirs = placed.select("conv_id", F.col("call_id").alias("needs"), F.col("stretch").alias("needs_stretch"))
+    inner = materialise(
+        pairs.join(placed.select(*key, "stretch"), key).join(theirs, ["conv_id", "needs"]).where("stretch = needs_stretch").select(*key, "needs"), "inner"
+    )
+    ranks = placed.select(*key, F.col("turn").alias("ready"), F.lit(0).alias("hops"), F.lit(False).alias("done"))
+    while True:
+        source = ranks.select("conv_id", F.col("call_id").alias("needs"), F.col("ready").alias("r"), (F.col("hops") + 1).alias("h"), "done")
+        asked = inner.join(source, ["conv_id", "needs"]).groupBy(*key).agg(F.max(F.struct("r", "h")).alias("asked"), F.min("done").alias("met"))
         own = F.struct(F.col("ready").alias("r"), F.col("hops").alias("h"))
-        new = ids.join(asked, ["conv_id", "call_id"], "left").withColumn("best", F.greatest(own, F.coalesce("asked", own)))
-        ids = materialise(
-            new.select(
-                "conv_id", "call_id", F.col("best.r").alias("ready"), F.col("best.h").alias("hops"), (F.col("best") > own).alias("moved")
+        new = ranks.join(asked, key, "left").withColumn("moved", ~F.col("done") & F.coalesce("met", F.lit(True)))
+        best = F.when(F.col("moved"), F.greatest(own, F.coalesce("asked", own))).otherwise(own)
+        ranks = materialise(
+            new.withColumn("best", best).select(
+                *key, F.col("best.r").alias("ready"), F.col("best.h").alias("hops"), (F.col("done") | F.col("moved")).alias("done"), "moved"
             ),
             "ranks",
         )
-        if ids.where("moved").isEmpty():
+        if ranks.where("moved").isEmpty():
             break
-    else:
-        loops = F.col("hops") >= MAX_ROUNDS // 2
-    return calls.join(ids.select("conv_id", "call_id", "ready", "hops", loops.alias("looped")), ["conv_id", "call_id"])
+    stuck = fresh = materialise(ranks.where(~F.col("done")).select(*key), "stuck")
+    while not fresh.isEmpty():
+        behind = pairs.join(fresh.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]).select(*key).distinct()
+        fresh = materialise(behind.join(stuck, key, "left_anti"), "behind")
+        stuck = materialise(stuck.unionByName(fresh), "stuck")
+    return (
+        calls.join(ranks.select(*key, "ready", "hops"), key, "left")
+        .join(stuck.withColumn("looped", F.lit(True)), key, "left")
+        .withColumn("ready", F.coalesce("ready", "turn"))
+        .withColumn("hops", F.coalesce("hops", F.lit(0)))
+        .withColumn("looped", F.coalesce("looped", F.lit(False)))
+    )
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
@@ -81,8 +120,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
     ``calls``: conv_id, call_id, turn, tool, arguments (JSON text), needs (array of call_id). ``results``: conv_id,
     call_id, content. Of several calls or results with the same identifier the first by turn, then by text, counts.
     ``step`` numbers a conversation's calls from 0 in an order that respects ``needs`` (null for a result without a
-    call). ``status``: ok, invalid (see ``error``), no_result, no_call, loop (calls that need each other). ``message`` is
-    canonical JSON: keys by code point, no spaces. Rows with a null conv_id or call_id are not linked and are left out.
+    call). ``status``: ok, invalid (see ``error``), no_result, no_call, loop (calls that need each other, and calls that
+    need such a call, at once or through others). ``message`` is canonical JSON: keys by code point, no spaces. Rows with a null conv_id or call_id are not linked and are left out.
     Empty inputs give an empty result; extra columns are ignored.
     """
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
@@ -90,7 +129,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
     unique = calls.where(named).groupBy("conv_id", "call_id").agg(first.alias("c")).select("conv_id", "call_id", "c.*")
     unique = materialise(unique.withColumn("turn", F.coalesce("turn", F.lit(0)).cast("long")), "calls")
     answers = results.where(named).groupBy("conv_id", "call_id").agg(F.min(F.struct("content")).alias("answer"))
-    links = unique.select("conv_id", "call_id", F.explode("needs").alias("needs"))
+    links = unique.select("conv_id", "call_id", "turn", F.explode("needs").alias("needs"))
     ranked = ordered(unique, links).withColumn("conv_key", F.col("conv_id").cast("string")).withColumn("turn_bucket", F.floor(F.col("ready") / BUCKET_TURNS))
     stepped = running_sum(
         ranked, "conv_key", "turn_bucket", [F.asc("ready"), F.asc("hops"), F.asc("turn"), F.asc("call_id")], F.lit(1).cast("long"), "step"

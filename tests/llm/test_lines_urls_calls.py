@@ -193,6 +193,23 @@ def test_calls_that_need_each_other(spark):
     assert {k: r.status for k, r in got.items()} == {(1, "a"): "loop", (1, "b"): "loop", (2, "a"): "no_result"}
 
 
+def test_long_chains_are_no_loops_and_long_loops_are(spark, monkeypatch):
+    """Chains of forward references longer than any number of rounds once allowed, beside loops of 2, 39 and 60 calls."""
+    monkeypatch.setattr(tool_calls, "BUCKET_TURNS", 7)
+    needs = {(1, i): [i + 1] for i in range(41)} | {(1, 41): []} | {(2, i): [i + 1] for i in range(25)} | {(2, 25): []}
+    needs |= {(conv, i): [(i + 1) % n] for conv, n in ((3, 2), (4, 39), (5, 60)) for i in range(n)}
+    needs |= {(3, 5): [0], (3, 6): [5], (3, 7): [], (3, 8): [9], (3, 9): [7], (6, 0): [0], (6, 1): []}
+    got = linked(spark, [(conv, f"c{i}", i, "sum", "{}", [f"c{k}" for k in on]) for (conv, i), on in needs.items()], [])
+    loops = {(conv, i) for conv, i in needs if conv in (4, 5)} | {(3, i) for i in (0, 1, 5, 6)} | {(6, 0)}
+    assert {(r.conv_id, int(r.call_id[1:])) for r in got.values() if r.status == "loop"} == loops
+    assert all(r.status in ("loop", "no_result") for r in got.values())
+    for (conv, i), on in needs.items():
+        assert (conv, i) in loops or all(got[conv, f"c{k}"].step < got[conv, f"c{i}"].step for k in on)
+    for conv in range(1, 7):
+        steps = sorted(r.step for r in got.values() if r.conv_id == conv)
+        assert steps == list(range(len(steps)))
+
+
 def test_a_long_conversation_is_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(tool_calls, "BUCKET_TURNS", 7)
     got = linked(spark, [(1, f"c{i}", i, "sum", "{}", [f"c{i - 1}"]) for i in range(60)], [])
