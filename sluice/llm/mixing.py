@@ -71,13 +71,14 @@ def _decisions(docs: DataFrame, weights: Sequence[float], max_repeats: int, seed
         "sizes",
     )
     parts = max(1, -(-rows.count() // BUCKET_ROWS))
-    # a bucket: a band of like sizes, split by hash where there are many rows
+    order = [F.desc("size"), F.asc_nulls_last("doc_id"), F.asc("tie")]
+    # a bucket: a band of like sizes, cut by ranges of the order where there are many rows; both keep to the order
     band = F.lit(1024) - F.floor(F.log2(F.col("size") + 1) * 16).cast("long")
-    keyed = rows.withColumn("bucket", band * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    placed = running_sum(
-        keyed, "source_key", "bucket", [F.desc("size"), F.asc("doc_id"), F.asc("tie")], F.lit(1).cast("long"), "place",
-        source_targets(rows, weights, max_repeats),
-    )
+    if parts > 1:
+        keyed = materialise(rows.repartitionByRange(parts, *order).withColumn("bucket", band * parts + F.spark_partition_id()), "ranges")
+    else:
+        keyed = rows.withColumn("bucket", band)
+    placed = running_sum(keyed, "source_key", "bucket", order, F.lit(1).cast("long"), "place", source_targets(rows, weights, max_repeats))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("source_key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (

@@ -5,7 +5,7 @@ import pytest
 from odd import check_types, docs, no_docs, odd_docs, odd_rows, prose
 from tokenizers import Tokenizer
 
-from sluice.llm import mixing, packing
+from sluice.llm import mixing, oracles, packing, queries
 
 
 def fair(sizes, weights=(5, 2, 1), limit=3):
@@ -52,6 +52,15 @@ def test_buckets_change_nothing_but_order(spark, monkeypatch):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 10
 
 
+def test_buckets_keep_the_order(spark, monkeypatch, same):
+    """The same documents are taken however many buckets there are: those of the SQL."""
+    rows = [(i * 7919 % 1009, prose(i, 10 + i % 3), "en", "ab"[i % 2]) for i in range(300)] + [(None, prose(9, 10), "en", "a")] * 2
+    whole = sorted(map(str, mixing.mix(docs(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    assert sorted(map(str, mixing.mix(docs(spark, rows)).collect())) == whole
+    same(queries.QUERIES["op7_mixing"], oracles.ORACLES["op7_mixing"])
+
+
 def test_mix_of_odd_rows(spark):
     assert mixing.mix(odd_docs(spark)).count() == len(odd_rows())
     assert mixing.mix(no_docs(spark)).count() == 0
