@@ -159,7 +159,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
 
 def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain chat: a system turn sets the context, a user turn asks, and an assistant turn is the
-    result of the turn before it. A question needs the context and the question before it."""
+    result of the turn before it. A question needs the context and the question before it.
+
+    As in the query's SQL, rows of other roles (a tool turn, say) or without a role are neither calls nor results. A row
+    with a null turn has no call_id, and ``link`` leaves it out as it does one with a null conv_id. Of several calls or
+    of several results with one (conv_id, call_id), the first by ``link``'s rule counts.
+    """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     call_id = F.concat(F.lit("call_"), F.col("turn").cast("string"))
     text = F.coalesce("text", F.lit(""))

@@ -216,6 +216,26 @@ def test_a_long_conversation_is_many_buckets(spark, monkeypatch):
     assert all(got[1, f"c{i}"].step == i for i in range(60))
 
 
+def test_turns_that_are_no_calls(spark):
+    """The rule of chat_calls for other roles, nulls and repeated turns."""
+    rows = [
+        (1, 0, "system", "s"),
+        (1, 1, "user", "b"),
+        (1, 1, "user", "a"),
+        (1, 2, "assistant", "y"),
+        (1, 2, "assistant", "x"),
+        (1, 3, "tool", "t"),
+        (1, 4, None, "n"),
+        (1, None, "user", "no turn"),
+        (1, None, "assistant", "no turn"),
+        (None, 0, "user", "no conversation"),
+    ]
+    chat = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.call_id): r for r in tool_calls.link(*tool_calls.chat_calls(chat), tool_calls.CHAT_TOOLS).collect()}
+    assert {k: (r.step, r.status) for k, r in got.items()} == {(1, "call_0"): (0, "no_result"), (1, "call_1"): (1, "ok")}
+    assert json.loads(got[1, "call_1"].message) == {"arguments": {"text": "a", "words": 1}, "id": "call_1", "result": "x", "tool": "ask"}
+
+
 def test_no_calls(spark):
     assert linked(spark, [], []) == {}
     chat = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
