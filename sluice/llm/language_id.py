@@ -102,7 +102,10 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, learn_from: int = LEARN
         .where(F.col("rank") <= size)
     )
     profiles: dict[str, list[int]] = {}
-    for r in sorted(ranked.limit(MAX_LANGUAGES * size).collect(), key=lambda r: (r["lang"], r["rank"])):
+    found = ranked.limit(MAX_LANGUAGES * size + 1).collect()
+    if len(found) > MAX_LANGUAGES * size:
+        raise ValueError(f"the profiles hold more n-grams than those of {MAX_LANGUAGES} languages")
+    for r in sorted(found, key=lambda r: (r["lang"], r["rank"])):
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
 

@@ -99,3 +99,13 @@ def test_scores_meet_the_threshold_at_the_cutoff():
     model.cutoffs = {"en": 0.2}
     got = model.scores(np.array([0.0, 0.19, 0.2, 1.0, 0.5, 0.49]), ["en"] * 4 + ["de"] * 2)
     assert (got >= 0.7).tolist() == [False, False, True, True, True, False]
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    rows = docs(spark, [(i, f"words of {i}", f"l{i % 3}", "a") for i in range(60)])
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    whole = language_id.learn_profiles(rows, size=5)
+    assert sorted(whole) == ["l0", "l1", "l2"] and all(len(v) == 5 for v in whole.values())
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        language_id.learn_profiles(rows, size=5)
