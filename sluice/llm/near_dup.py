@@ -425,9 +425,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, that with the smallest doc_id; all columns stay.
+    """``docs`` with one row of each class of near duplicates, that with the smallest doc_id; all columns stay.
 
-    Rows with a null doc_id stay.
+    Rows are told apart by a number of their own, not by doc_id, which may stand on several texts. Of rows of a class
+    with the same smallest doc_id one stays. Rows with a null doc_id stay.
     """
-    judged = materialise(near_duplicates(docs).where("doc_id <> class_id").select("doc_id"), "dropped")
-    return drop_ids(docs, judged)
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    rows = docs.withColumnRenamed("doc_id", "__own_id").withColumn("doc_id", F.monotonically_increasing_id())
+    rows = materialise(rows, "numbered")
+    shared = materialise(near_duplicates(rows).where("class_size > 1").select("doc_id", "class_id"), "shared")
+    ranks = rows.where(F.col("__own_id").isNotNull()).select("doc_id", F.struct("__own_id", F.xxhash64("`text`").alias("tie"), "doc_id").alias("rank"))
+    named = materialise(shared.join(ranks, "doc_id"), "named")
+    kept = named.groupBy("class_id").agg(F.min("rank").alias("first")).select(F.col("first.doc_id").alias("doc_id"))
+    dropped = materialise(named.select("doc_id").join(kept, "doc_id", "left_anti"), "dropped")
+    return drop_ids(rows, dropped).drop("doc_id").withColumnRenamed("__own_id", "doc_id").select(*names)

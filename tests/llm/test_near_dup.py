@@ -111,3 +111,16 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100)]
     found = {r.node: r.label for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_keep_one_tells_rows_apart(spark):
+    """An id on several texts: one row of each class stays, and nothing else goes; rows without an id stay."""
+    a, b, c, d = prose(1, 60), prose(2, 60), prose(3, 60), prose(4, 60)
+    rows = [(3, a + " end", "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (7, c, "en", "s"), (7, c + " end", "en", "s")]
+    rows += [(None, d, "en", "s"), (None, d + " end", "en", "s"), (None, d, "en", "s")]
+    table = docs(spark, rows)
+    kept = near_dup.keep_one(table)
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 6 and {(3, a + " end"), (5, b)} < set(got)
+    assert sorted(str(i) for i, _ in got) == ["3", "5", "7", "None", "None", "None"]
