@@ -37,7 +37,12 @@ def argument_error(tool: Column, arguments: Column, schemas: Schema) -> Column:
         for field, kind, required in reversed(fields):
             value = F.try_variant_get(parsed, F.lit(f"$.{field}"), "variant")
             here = F.array_contains(given, field)
-            bad = here & (F.coalesce(F.schema_of_variant(value), F.lit("VOID")) != kind)
+            shown = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+            bad = here & (shown != kind)
+            if kind == "BIGINT":  # a number without a fraction is an integer however it is written
+                number = F.try_variant_get(parsed, F.lit(f"$.{field}"), "double")
+                whole = shown.rlike("^(DECIMAL|DOUBLE|FLOAT)") & F.coalesce(number == F.floor(number), F.lit(False))
+                bad = bad & ~whole
             wrong = F.when(bad, F.lit(f"{field} is not {kind}")).otherwise(wrong)
             if required:
                 wrong = F.when(~here, F.lit(f"{field} is missing")).otherwise(wrong)
@@ -121,8 +126,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
     call_id, content. Of several calls or results with the same identifier the first by turn, then by text, counts.
     ``step`` numbers a conversation's calls from 0 in an order that respects ``needs`` (null for a result without a
     call). ``status``: ok, invalid (see ``error``), no_result, no_call, loop (calls that need each other, and calls that
-    need such a call, at once or through others). ``message`` is canonical JSON: keys by code point, no spaces. Rows with a null conv_id or call_id are not linked and are left out.
-    Empty inputs give an empty result; extra columns are ignored.
+    need such a call, at once or through others). ``message`` is canonical JSON: keys by UTF-16 code units as in RFC 8785,
+    no spaces, a decimal without zeros at its end; a number with an exponent is a double and keeps its point. Rows with a
+    null conv_id or call_id are not linked and are left out. Empty inputs give an empty result; extra columns are ignored.
     """
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = F.min(F.struct("turn", "tool", "arguments", "needs"))
@@ -159,28 +165,41 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schema) -> DataFrame:
 
 def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain chat: a system turn sets the context, a user turn asks, and an assistant turn is the
-    result of the turn before it. A question needs the context and the question before it.
+    result of the turn before it.
+
+    Chat has no tool calls of its own, so what links them is made from the number of words w of a question, that every
+    part of ``link`` has work: by w modulo 4, a question needs the next question (0: a reference forward, and a loop
+    where that one needs it in turn), the two turns before (1), or nothing. By w modulo 9 its arguments lack the words
+    (0), give them as text (1), have a field that no schema knows (2), or are right.
 
     As in the query's SQL, rows of other roles (a tool turn, say) or without a role are neither calls nor results. A row
     with a null turn has no call_id, and ``link`` leaves it out as it does one with a null conv_id. Of several calls or
     of several results with one (conv_id, call_id), the first by ``link``'s rule counts.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    call_id = F.concat(F.lit("call_"), F.col("turn").cast("string"))
+
+    def call(turn: Column) -> Column:
+        return F.concat(F.lit("call_"), turn.cast("string"))
+
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    ask = F.to_json(F.struct(text.alias("text"), words.alias("words")))
-    context = F.to_json(F.struct(text.alias("text")))
-    needs = F.transform(F.array(F.lit(1), F.lit(2)), lambda i: F.concat(F.lit("call_"), (F.col("turn") - i).cast("string")))
+    alone = F.to_json(F.struct(text.alias("text")))
+    ask = (
+        F.when(words % 9 == 0, alone)
+        .when(words % 9 == 1, F.to_json(F.struct(text.alias("text"), words.cast("string").alias("words"))))
+        .when(words % 9 == 2, F.to_json(F.struct(F.lit("x").alias("note"), text.alias("text"), words.alias("words"))))
+        .otherwise(F.to_json(F.struct(text.alias("text"), words.alias("words"))))
+    )
+    turn = F.col("turn")
+    needs = F.when(words % 4 == 0, F.array(call(turn + 2))).when(words % 4 == 1, F.array(call(turn - 1), call(turn - 2)))
+    is_system = F.col("role") == "system"
     calls = rows.where(F.col("role").isin("system", "user")).select(
         "conv_id",
-        call_id.alias("call_id"),
+        call(turn).alias("call_id"),
         "turn",
-        F.when(F.col("role") == "system", "set_context").otherwise("ask").alias("tool"),
-        F.when(F.col("role") == "system", context).otherwise(ask).alias("arguments"),
-        F.when(F.col("role") == "system", F.array().cast("array<string>")).otherwise(needs).alias("needs"),
-    )
-    results = rows.where(F.col("role") == "assistant").select(
-        "conv_id", F.concat(F.lit("call_"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content")
+        F.when(is_system, "set_context").otherwise("ask").alias("tool"),
+        F.when(is_system, alone).otherwise(ask).alias("arguments"),
+        F.coalesce(F.when(~is_system, needs), F.array().cast("array<string>")).alias("needs"),
     )
+    results = rows.where(F.col("role") == "assistant").select("conv_id", call(turn - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
