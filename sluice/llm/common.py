@@ -21,11 +21,14 @@ _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one in local mode, as in tests."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
     return _local_dir
@@ -119,11 +122,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
-    """``docs`` with ``__in``: false only where doc_id is not in ``ids``, told by a broadcast bit map of bounded size."""
+def _maybe_in(docs: DataFrame, key: Column, hashes: DataFrame, total: int) -> DataFrame:
+    """``docs`` with ``__in``: false only where ``key`` (a hash) is not in ``hashes``, told by a broadcast bit map of
+    bounded size."""
     bits = power_of_two(total * BITS_PER_ROW, 16, MAX_BITS)
-    maps = repeated_slots(ids.select(F.xxhash64("doc_id").alias("__id_hash")), "__id_hash", bits, least=1)
-    return maybe_repeated(docs.withColumn("__id_hash", F.xxhash64("`doc_id`")), "__id_hash", maps, bits, "__in")
+    maps = repeated_slots(hashes, hashes.columns[0], bits, least=1)
+    return maybe_repeated(docs.withColumn("__key_hash", key), "__key_hash", maps, bits, "__in").drop("__key_hash")
 
 
 def pick_ids(docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
@@ -131,13 +135,23 @@ def pick_ids(docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
 
     Rows are dropped where they are read, and none is shuffled.
     """
-    return _by_ids(docs, ids, total).where("__in").drop("__in", "__id_hash")
+    hashes = ids.select(F.xxhash64("doc_id").alias("__hash"))
+    return _maybe_in(docs, F.xxhash64("`doc_id`"), hashes, total).where("__in").drop("__in")
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; only rows that the bit map does not clear are shuffled."""
+def drop_rows(docs: DataFrame, gone: DataFrame, once: DataFrame) -> DataFrame:
+    """``docs`` without the rows named in ``gone``, and those named in ``once`` one time each; all columns stay.
+
+    Rows are named by doc_id, which may be null, and ``tie``, the hash of their text; ``gone`` and ``once`` name a row
+    once at most. Only rows that the bit map does not clear are shuffled.
+    """
     names = [F.col(f"`{n}`") for n in docs.columns]
-    told = _by_ids(docs, ids, ids.count())
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    rest = told.where("__in").join(gone, F.col("`doc_id`") == F.col("__gone"), "left_anti")
-    return told.where(~F.col("__in")).select(*names).unionByName(rest.select(*names))
+    marks = gone.select("doc_id", "tie", F.lit(False).alias("stays")).unionByName(once.select("doc_id", "tie", F.lit(True).alias("stays")))
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__other"), F.col("stays").alias("__stays"))
+    hashes = marks.select(F.xxhash64("__id", "__other").alias("__hash"))
+    own = docs.withColumn("__tie", F.xxhash64("`text`"))
+    told = _maybe_in(own, F.xxhash64(F.col("`doc_id`").cast("long"), "__tie"), hashes, marks.count())
+    same = F.col("`doc_id`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__other"))
+    seen = told.where("__in").join(marks, same, "left")
+    single = seen.where("__stays").dropDuplicates(["__id", "__other"])
+    return told.where(~F.col("__in")).select(*names).unionByName(seen.where("__stays is null").select(*names)).unionByName(single.select(*names))

@@ -15,7 +15,11 @@ of blocks, so one large group is shared by many tasks and no pair of it is left
 from __future__ import annotations
 
 import hashlib
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, drop_ids, join_groups, map_batches, materialise, pick_ids
+from .common import doc_columns, drop_rows, join_groups, map_batches, materialise, pick_ids
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -35,7 +39,7 @@ TOLERANCE = 1e-5
 BLOCK = 512
 
 _SPACE = 32
-#: Bytes that are part of a word: ASCII letters and digits, and all bytes of other characters.
+#: Bytes that are part of a word: ASCII letters and digits, and all bytes of the other characters that are left.
 _WORD_BYTES = bytes(i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else _SPACE for i in range(256))
 _CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -63,13 +67,24 @@ def _constants() -> dict[str, np.ndarray]:
     return _state
 
 
+@cache
+def wide_separators() -> re.Pattern[str]:
+    """White space, controls and punctuation beyond ASCII, by their Unicode category."""
+    found = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Cc", "Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po")]
+    return re.compile("[" + "".join(map(chr, found)) + "]")
+
+
 def word_hashes(text: str, prefix: int = 0) -> np.ndarray:
-    """One hash for each word in order; words are runs of ASCII letters, digits and other characters, lower-cased.
+    """One hash for each word in order, lower-cased; what is not a letter or digit sets words apart in ASCII, and white
+    space, controls and punctuation beyond it.
 
     With ``prefix``, of the first so many bytes of each word.
     """
     k = _constants()
-    raw = (" " + text.lower() + " ").encode("utf-8", "replace").translate(_WORD_BYTES)
+    low = text.lower()
+    if not low.isascii():
+        low = wide_separators().sub(" ", low)
+    raw = (" " + low + " ").encode("utf-8", "replace").translate(_WORD_BYTES)
     data = np.frombuffer(raw, np.uint8)
     word = data != _SPACE
     edges = np.flatnonzero(word[1:] != word[:-1]) + 1
@@ -271,7 +286,10 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, sig, bands) of each document; n is 0 and the rest empty where a text has no word."""
+    """(doc_id, tie, digest, n, sig, bands) of each document; n is 0 and the rest empty where a text has no word.
+
+    ``tie`` is a hash of the text, which with doc_id tells rows apart.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,12 +304,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 keys = band_keys(np.stack(sigs))
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array([short(s) for s in sigs], pa.binary()), bands],
-                    ["doc_id", "digest", "n", "sig", "bands"],
+                    [part.column("doc_id"), part.column("tie"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array([short(s) for s in sigs], pa.binary()), bands],
+                    ["doc_id", "tie", "digest", "n", "sig", "bands"],
                 )
 
-    rows = doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_batches(rows, made, "doc_id bigint, digest binary, n bigint, sig binary, bands array<bigint>")
+    rows = doc_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return map_batches(rows, made, "doc_id bigint, tie bigint, digest binary, n bigint, sig binary, bands array<bigint>")
 
 
 def with_grams(docs: DataFrame) -> DataFrame:
@@ -373,13 +391,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, class_size.
 
     Two documents are linked when the Jaccard similarity of their sets of word 5-grams is THRESHOLD or more; words are
-    lower-cased and ASCII punctuation is passed over. n_links counts a document's linked documents, copies each.
+    lower-cased, and white space and punctuation are passed over. n_links counts a document's linked documents, copies each.
     class_id is the smallest doc_id of those connected by links, class_size their number. A text without a word (null,
     empty) has no links and is a class of its own; a text of under 5 words is linked to texts with the same words.
     Repeated rows are documents of their own and linked. An empty table gives an empty result. Extra columns are
     ignored. Every pair found is exact; a pair at the threshold escapes all bands with a chance of 5e-5, and the
     pruning with one near its tolerance, both less for more similar pairs.
     """
+    return classified(docs).select("doc_id", "class_id", "n_links", "class_size")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """What ``near_duplicates`` tells, with ``tie`` (a hash of the text) and ``label``, which names a class even where
+    ids are null or repeated (null for a text without a word)."""
     sketches = materialise(sketched(docs).withColumn("row_no", F.monotonically_increasing_id()), "sketches")
     groups = materialise(
         sketches.where("n > 0")
@@ -416,26 +440,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members")
     )
     full = materialise(join_groups(labelled, by_class, "label", "members", total), "classes")
-    rows = sketches.select("doc_id", "digest", "n")
-    told = join_groups(rows.where("n > 0"), full.select("digest", "class_id", "class_size", "links", "copies"), "digest", "copies", rows.count())
-    worded = told.select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
-    return worded.unionByName(
-        rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
-    )
+    rows = sketches.select("doc_id", "tie", "digest", "n")
+    told = join_groups(rows.where("n > 0"), full.select("digest", "class_id", "class_size", "links", "copies", "label"), "digest", "copies", rows.count())
+    worded = told.select("doc_id", "tie", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
+    alone = [F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size")]
+    return worded.unionByName(rows.where("n = 0").select("doc_id", "tie", *alone))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of near duplicates, that with the smallest doc_id; all columns stay.
 
-    Rows are told apart by a number of their own, not by doc_id, which may stand on several texts. Of rows of a class
-    with the same smallest doc_id one stays. Rows with a null doc_id stay.
+    Rows are told apart by doc_id and text, so an id that stands on several texts loses none but copies. Of rows of a
+    class with the same smallest doc_id one stays. A null doc_id ranks last. Rows without a word stay.
     """
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    rows = docs.withColumnRenamed("doc_id", "__own_id").withColumn("doc_id", F.monotonically_increasing_id())
-    rows = materialise(rows, "numbered")
-    shared = materialise(near_duplicates(rows).where("class_size > 1").select("doc_id", "class_id"), "shared")
-    ranks = rows.where(F.col("__own_id").isNotNull()).select("doc_id", F.struct("__own_id", F.xxhash64("`text`").alias("tie"), "doc_id").alias("rank"))
-    named = materialise(shared.join(ranks, "doc_id"), "named")
-    kept = named.groupBy("class_id").agg(F.min("rank").alias("first")).select(F.col("first.doc_id").alias("doc_id"))
-    dropped = materialise(named.select("doc_id").join(kept, "doc_id", "left_anti"), "dropped")
-    return drop_ids(rows, dropped).drop("doc_id").withColumnRenamed("__own_id", "doc_id").select(*names)
+    shared = materialise(classified(docs).where("class_size > 1").select("doc_id", "tie", "label"), "shared")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("first")
+    stays = shared.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__other"))
+    rows = shared.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__other"))
+    judged = materialise(rows.join(stays, same, "left").withColumn("stays", F.col("__other").isNotNull()).select("doc_id", "tie", "rows", "stays"), "judged")
+    return drop_rows(docs, judged.where("not stays"), judged.where("stays and rows > 1"))
