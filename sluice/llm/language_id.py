@@ -17,8 +17,11 @@ from .common import doc_columns, held_out, map_batches
 PROFILE = 300
 #: Labelled documents of each language that a profile is learnt from, at most: a sample by hash of doc_id.
 LEARN_FROM = 1_000
-#: Languages at most; it bounds what the driver holds (PROFILE n-grams of each).
+#: Languages at most; more are refused. It bounds what is broadcast (LEARN_FROM ids of each) and held by the driver
+#: (PROFILE n-grams of each).
 MAX_LANGUAGES = 2_000
+#: How many times LEARN_FROM documents are let through by the threshold, as the number of ids is an estimate.
+DRAWN = 1.5
 UNKNOWN = "und"
 #: Characters of a text that are in memory as code points at a time.
 CHUNK = 1 << 20
@@ -74,12 +77,23 @@ def top_grams(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE, learn_from: int = LEARN_FROM) -> dict[str, list[int]]:
-    """The profile of each language of ``lang``, from rows that are not held out; {} if there are none."""
+    """The profile of each language of ``lang``, from rows that are not held out; {} if there are none.
+
+    A language's documents are drawn by their hash: a threshold, from the number of its ids, lets few more than
+    ``learn_from`` through where they are read, and the lowest of those are taken. So no task ranks a whole language.
+    """
+    spark = docs.sparkSession
     known = doc_columns(docs, "doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.withColumn("__n", F.row_number().over(drawn)).where(F.col("__n") <= learn_from).select("doc_id").distinct()
-    )
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return {}
+    shares = spark.createDataFrame([(r["lang"], min(1.0, DRAWN * learn_from / max(1, r["ids"]))) for r in counts], "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = known.withColumn("place", place).join(F.broadcast(shares), "lang").where("place <= share").select("lang", "place", "doc_id").distinct()
+    drawn = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = few.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= learn_from).select("doc_id").distinct()
     rows = doc_columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +116,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, learn_from: int = LEARN
         .where(F.col("rank") <= size)
     )
     profiles: dict[str, list[int]] = {}
-    found = ranked.limit(MAX_LANGUAGES * size + 1).collect()
-    if len(found) > MAX_LANGUAGES * size:
-        raise ValueError(f"the profiles hold more n-grams than those of {MAX_LANGUAGES} languages")
-    for r in sorted(found, key=lambda r: (r["lang"], r["rank"])):
+    for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"])):
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
 
@@ -161,17 +172,25 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]] | None = None) -> D
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language is ``und``; all columns stay.
+    """``docs`` without those whose text is null or has no letter; all columns stay.
 
-    With at least one profile learnt these are the texts without a letter, which needs no distance: the test is the
-    same regular expression as in ``Profiles.judge``. Without any profile no document has a language.
+    A null ``lang`` becomes the language that ``judge`` tells; one that is given stays. Where no language could be
+    learnt, as no document has one, ``lang`` stays null and no document goes that has a letter. An empty table gives an
+    empty result.
     """
     known = Profiles(learn_profiles(docs))
     schema = docs.schema
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([known.judge(t)[0] != UNKNOWN for t in texts], pa.bool_()))
+            at = {n: batch.schema.get_field_index(n) for n in ("text", "lang")}
+            texts = batch.column(at["text"]).to_pylist()
+            told = [known.judge(t)[0] for t in texts]
+            stays = [n != UNKNOWN if known.names else _LETTER.search(t or "") is not None for n, t in zip(told, texts, strict=True)]
+            given = batch.column(at["lang"])
+            if known.names and given.null_count:
+                langs = [own if own is not None else n for own, n in zip(given.to_pylist(), told, strict=True)]
+                batch = batch.set_column(at["lang"], batch.schema.field(at["lang"]), pa.array(langs, given.type))
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return map_batches(docs, kept, schema)
