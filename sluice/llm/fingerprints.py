@@ -42,17 +42,28 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(*seed, canon)), 16, "0") for seed in ([], [F.lit("wide")])]))
 
 
-def _stretch(bounds: list[int], key: Column) -> Column:
-    """How many of the sorted ``bounds`` are below ``key``, by two short scans."""
+def _stretch(bounds: list[int], key: Column, tie: Column) -> Column:
+    """The stretch of a row: how many of the sorted ``bounds`` are below ``key``, by two short scans.
+
+    An id that many rows share is a bound several times; its rows are dealt out to as many stretches by ``tie``, which
+    lies in [0, 2**62).
+    """
     step = max(1, int(len(bounds) ** 0.5))
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     tops = F.array(*[F.lit(b[-1]).cast("long") for b in blocks])
     table = F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in blocks])
-    block = F.size(F.filter(tops, lambda x: x < key))
-    inside = F.when(
-        block < len(blocks), F.size(F.filter(F.get(table, block), lambda x: x < key))
-    ).otherwise(0)
-    return F.least(block * step + inside, F.lit(len(bounds))).cast("int")
+
+    def below(of: Column) -> Column:
+        block = F.size(F.filter(tops, lambda x: x < of))
+        inside = F.when(block < len(blocks), F.size(F.filter(F.get(table, block), lambda x: x < of))).otherwise(0)
+        return F.least(block * step + inside, F.lit(len(bounds))).cast("int")
+
+    shared = sorted({x for i, x in enumerate(bounds[1:]) if x == bounds[i]})
+    if not shared:
+        return below(key)
+    times = below(key + 1) - below(key)
+    among = (times - 1 - F.floor(tie / F.lit(float(1 << 62)) * times)).cast("int")
+    return F.when(key.isin(shared), below(key) + F.greatest(F.lit(0), among)).otherwise(below(key))
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
@@ -60,12 +71,13 @@ def with_next_text(docs: DataFrame) -> DataFrame:
 
     The id order is cut into stretches of about STRETCH_ROWS documents. A document goes to its stretch, and the first
     of each stretch also to the end of the one before it, so every text is shuffled once and no task holds more than a
-    stretch. A null doc_id stands last; equal ids stand by text.
+    stretch. A null doc_id stands last; equal ids stand by a hash of the text.
     """
     lowest = -(2**63)
     rows = doc_columns(docs, "doc_id", "text").select(
         "doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id"), F.lit(lowest)).cast("long").alias("__key")
     )
+    rows = rows.withColumn("__tie", F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
     total = rows.count()
     if total == 0:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
@@ -73,21 +85,22 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     marks = [i / wanted for i in range(1, wanted)]
     bounds = []
     if marks:
-        bounds = sorted(set(rows.agg(F.percentile_approx("__key", marks, 20 * wanted)).first()[0]))
-    placed = rows.withColumn("__stretch", _stretch(bounds, F.col("__key")) if bounds else F.lit(0))
-    firsts = {r[0]: r[1] for r in placed.groupBy("__stretch").agg(F.max("__key")).collect()}
+        bounds = sorted(rows.agg(F.percentile_approx("__key", marks, 20 * wanted)).first()[0])
+    place = F.struct(F.col("__key"), (-F.col("__tie")).alias("__back"))
+    placed = rows.withColumn("__stretch", _stretch(bounds, F.col("__key"), F.col("__tie")) if bounds else F.lit(0))
+    firsts = {r[0]: r[1] for r in placed.groupBy("__stretch").agg(F.max(place)).collect()}
     present = sorted(firsts)
     count = len(bounds) + 1
-    first_key = F.array(*[F.lit(firsts.get(i)).cast("long") for i in range(count)])
+    first_key = F.array(*[F.lit(firsts[i][0] if i in firsts else None).cast("long") for i in range(count)])
+    first_back = F.array(*[F.lit(firsts[i][1] if i in firsts else None).cast("long") for i in range(count)])
     # descending order: a stretch comes after the next higher one that has rows, and the highest after the lowest
     before = F.array(*[F.lit(present[(bisect.bisect_right(present, i)) % len(present)]) for i in range(count)])
     at = F.col("__stretch")
     own = F.struct(at.alias("stretch"), F.lit(False).alias("guest"))
     guest = F.struct(F.get(before, at).alias("stretch"), F.lit(True).alias("guest"))
-    sent = placed.withColumn(
-        "__to", F.explode(F.when(F.get(first_key, at) == F.col("__key"), F.array(own, guest)).otherwise(F.array(own)))
-    )
-    order = Window.partitionBy(F.col("__to.stretch")).orderBy(F.col("__to.guest"), F.desc("__key"), F.xxhash64("text"))
+    is_first = (F.get(first_key, at) == F.col("__key")) & (F.get(first_back, at) == -F.col("__tie"))
+    sent = placed.withColumn("__to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
+    order = Window.partitionBy(F.col("__to.stretch")).orderBy(F.col("__to.guest"), F.desc("__key"), F.asc("__tie"))
     return (
         sent.withColumn("next_text", F.lead("text").over(order))
         .where(~F.col("__to.guest"))
