@@ -48,11 +48,33 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+#: How a tokenizer must normalise and split for words to be encoded one by one; others encode whole texts.
+_NORMALISERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_by_words(described: dict) -> bool:
+    """Whether a tokenizer (its JSON) is a byte-level BPE that splits as ``_PIECES`` does."""
+    model, steps = described["model"], (described.get("normalizer") or {}).get("normalizers", [])
+    first, *others = (described.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return (
+        [(n["type"], n.get("pattern", {}).get("Regex")) for n in steps] == _NORMALISERS
+        and first.get("pattern", {}).get("Regex") == _SPLIT
+        and first.get("behavior") == "Removed"
+        and [o["type"] for o in others] == ["ByteLevel"]
+        and model.get("type") == "BPE"
+        and bool(model.get("end_of_word_suffix"))
+        and not model.get("continuing_subword_prefix")
+        and not model.get("dropout")
+    )
+
+
 class WordIds(dict):
     """Ids of white-space separated words as little-endian bytes; the whole tokenizer for words of unusual characters.
 
     The vocabulary never joins what white space separates, so a text's ids are its words' ids in a row. Its merges run
-    as ranks over bytes, with the byte 0xFF, which UTF-8 never has, for the end of a word.
+    as ranks over bytes, with the byte 0xFF, which UTF-8 never has, for the end of a word. A tokenizer that splits
+    otherwise encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -61,7 +83,11 @@ class WordIds(dict):
         self.type = "H" if self.whole.get_vocab_size(True) <= 1 << 16 else "I"
         self.dtype = "<u2" if self.type == "H" else "<u4"
         with open(path) as f:
-            model = json.load(f)["model"]
+            described = json.load(f)
+        self.by_words = splits_by_words(described)
+        if not self.by_words:
+            return
+        model = described["model"]
         letters, vocab, suffix = _byte_letters(), model["vocab"], model["end_of_word_suffix"]
         byte_of = {c: b for b, c in enumerate(letters)}
         end = b"\xff"
@@ -92,7 +118,7 @@ class WordIds(dict):
         return out
 
     def ids(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if not self.by_words or _ODD_SPACE.search(text):
             return array(self.type, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -107,7 +133,10 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenise(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, source_key, doc_tokens, ids): each document's ids as little-endian bytes, the end id last."""
+    """(doc_id, source_key, tie, doc_tokens, ids): each document's ids as little-endian bytes, the end id last.
+
+    ``tie`` is a hash of the text, which with doc_id gives documents an order.
+    """
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
@@ -117,13 +146,15 @@ def tokenise(docs: DataFrame, path: str = TOKENIZER, end_id: int = END_ID) -> Da
                 part = batch.slice(at, 512)
                 ids = [words.ids(t or "") + end for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("source_key"), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "source_key", "doc_tokens", "ids"],
+                    [*[part.column(c) for c in ("doc_id", "source_key", "tie")], pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "source_key", "tie", "doc_tokens", "ids"],
                 )
 
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source"))
-    rows = doc_columns(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("source_key"))
-    return map_batches(rows, tokenised, "doc_id bigint, source_key string, doc_tokens bigint, ids binary")
+    rows = doc_columns(docs, "doc_id", "text", "source").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("source_key"), F.xxhash64("text").alias("tie")
+    )
+    return map_batches(rows, tokenised, "doc_id bigint, source_key string, tie bigint, doc_tokens bigint, ids binary")
 
 
 def tail_edges(total: int, window: int = WINDOW) -> list[int]:
@@ -165,11 +196,12 @@ def pack(
     ``shares`` gives sources their part of each window; by default a source's part is its part of all tokens, so all
     queues last to the end. When a queue runs out, the others go on. A source without a share, or with 0, has the
     smallest share of the others. A null text counts as empty and is its end id alone; a null source is a source of
-    its own; every document of the table is packed, repeated rows too. An empty table gives an empty result. Extra
-    columns are ignored.
+    its own; every document of the table is packed, repeated rows too. A queue stands by hashes of doc_id and text, so
+    the layout is the same however the table is split into files. An empty table gives an empty result. Extra columns
+    are ignored.
     """
     tokens = materialise(tokenise(docs, path).withColumn("row_no", F.monotonically_increasing_id()), "tokens", "zstd")
-    slim = tokens.select("row_no", "source_key", "doc_tokens")
+    slim = tokens.select("row_no", "source_key", "doc_tokens", F.xxhash64("doc_id", "tie").alias("lot"), "doc_id", "tie")
     count, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()
     parts = max(1, -(-count // BUCKET_ROWS))
     by_source = slim.groupBy("source_key").agg(F.sum("doc_tokens").cast("double").alias("share"))
@@ -181,7 +213,7 @@ def pack(
         by_source = by_source.select("source_key", share.alias("share"))
     everything = by_source.agg(F.sum("share")).first()[0] or 1.0
     queues = running_sum(
-        slim.withColumn("bucket", F.pmod(F.xxhash64("row_no"), F.lit(parts))), "source_key", "bucket", [F.asc("row_no")], F.col("doc_tokens"), "before", by_source
+        slim.withColumn("bucket", F.pmod("lot", F.lit(parts))), "source_key", "bucket", [F.asc(c) for c in ("lot", "doc_id", "tie", "row_no")], F.col("doc_tokens"), "before", by_source
     )
     steps = F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(quantum).cast("long"))
     cut = queues.select("row_no", "source_key", "doc_tokens", "before", "share", F.explode(steps).alias("start")).withColumn(
