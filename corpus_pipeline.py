@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import exact_dedup, language_id, mixing, near_dup, packing
-from sluice.llm.common import read, shared_dir
+from sluice.llm.common import materialise, read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go."""
+    """Documents in a language; those without a letter go, and a null ``lang`` becomes the one told."""
     return language_id.keep_known(docs)
 
 
@@ -51,10 +50,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is a Parquet table in the shared folder."""
+    """All stages over ``documents``; each result but the last is a Parquet table in the shared folder, which is removed
+    when the application ends.
+
+    Nulls, empty texts and repeated rows fare as each operator's docstring says: texts that are null or have no letter
+    go with the first stage, copies with the second, whatever their doc_id. Extra columns come along to the last stage,
+    which gives only its own. An empty table gives an empty result, and one without labels of language keeps its rows.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
