@@ -15,7 +15,6 @@ of blocks, so one large group is shared by many tasks and no pair of it is left
 from __future__ import annotations
 
 import hashlib
-import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -68,23 +67,38 @@ def _constants() -> dict[str, np.ndarray]:
 
 
 @cache
-def wide_separators() -> re.Pattern[str]:
-    """White space, controls and punctuation beyond ASCII, by their Unicode category."""
-    found = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Cc", "Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po")]
-    return re.compile("[" + "".join(map(chr, found)) + "]")
+def _apart() -> np.ndarray:
+    """For each code point, whether it sets words apart beyond ASCII: white space, controls and punctuation."""
+    kinds = ("Cc", "Zs", "Zl", "Zp", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po")
+    return np.fromiter((c >= 0x80 and unicodedata.category(chr(c)) in kinds for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def word_hashes(text: str, prefix: int = 0) -> np.ndarray:
+@cache
+def _latin_apart() -> bytes:
+    return bytes(_SPACE if apart else c for c, apart in enumerate(_apart()[:256]))
+
+
+def word_bytes(text: str) -> bytes:
+    """The text in lower case as UTF-8, with a space for each byte or character that sets words apart, and one at both
+    ends."""
+    low = " " + text.lower() + " "
+    if not low.isascii():
+        try:
+            low = low.encode("latin-1").translate(_latin_apart()).decode("latin-1")
+        except UnicodeEncodeError:
+            points = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
+            low = np.where(_apart()[points], np.uint32(_SPACE), points).tobytes().decode("utf-32-le")
+    return low.encode("utf-8", "replace").translate(_WORD_BYTES)
+
+
+def word_hashes(text: str | bytes, prefix: int = 0) -> np.ndarray:
     """One hash for each word in order, lower-cased; what is not a letter or digit sets words apart in ASCII, and white
-    space, controls and punctuation beyond it.
+    space, controls and punctuation beyond it. Bytes are taken as what ``word_bytes`` gives.
 
     With ``prefix``, of the first so many bytes of each word.
     """
     k = _constants()
-    low = text.lower()
-    if not low.isascii():
-        low = wide_separators().sub(" ", low)
-    raw = (" " + low + " ").encode("utf-8", "replace").translate(_WORD_BYTES)
+    raw = word_bytes(text) if isinstance(text, str) else text
     data = np.frombuffer(raw, np.uint8)
     word = data != _SPACE
     edges = np.flatnonzero(word[1:] != word[:-1]) + 1

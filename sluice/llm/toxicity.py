@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import doc_columns, held_out, map_batches, materialise
-from .near_dup import _mix, word_hashes
+from .near_dup import _mix, word_bytes, word_hashes
 
 BUCKETS = 1 << 22
 WIDTHS = (1, 2, 3)
@@ -140,8 +140,9 @@ def language_of(hashes: np.ndarray) -> str:
 
 def buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(2, words) buckets of a text's words and of their beginnings, and the hashes of its words."""
-    hashes = word_hashes(text)
-    begun = _mix(word_hashes(text, PREFIX) + np.uint64(1))
+    raw = word_bytes(text)
+    hashes = word_hashes(raw)
+    begun = _mix(word_hashes(raw, PREFIX) + np.uint64(1))
     return (np.stack((hashes, begun)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), hashes
 
 
