@@ -26,6 +26,9 @@ UNKNOWN = "und"
 #: Characters of a text that are in memory as code points at a time.
 CHUNK = 1 << 20
 
+#: Rows of a batch whose texts are Python objects at a time.
+PART_ROWS = 512
+
 _LETTER = re.compile(r"[^\W\d_]")
 _tables: dict[str, np.ndarray] = {}
 
@@ -39,6 +42,12 @@ def _letters() -> np.ndarray:
     return _tables["letters"]
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the 1-, 2- and 3-grams of letters, words set off by one space. 21 bits hold a character."""
     codes, counts = [], []
@@ -97,7 +106,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, learn_from: int = LEARN
     rows = doc_columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sums: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 sums.setdefault(lang, []).append(np.stack(count_grams(text)))
@@ -159,7 +168,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]] | None = None) -> D
     known = Profiles(learn_profiles(docs) if profiles is None else profiles)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [known.judge(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -182,7 +191,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             at = {n: batch.schema.get_field_index(n) for n in ("text", "lang")}
             texts = batch.column(at["text"]).to_pylist()
             told = [known.judge(t)[0] for t in texts]
