@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 
 PART = "_part"
 FILE = "_file"
+_RANGE, _BEFORE, _RANGE_PART = "__range", "__before", "__range_part"
+#: Rows of a partition that one task numbers; larger partitions are numbered by ranges.
+TASK_ROWS = 2_000_000
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], out: str = "rank") -> DataFrame:
@@ -24,9 +27,36 @@ def with_file_index(df: DataFrame, keys: Sequence[str], file_rows: int) -> DataF
     return df.withColumn(FILE, F.call_function("div", place, F.lit(file_rows).cast("long")))
 
 
-def write_files(df: DataFrame, keys: Sequence[str], file_rows: int, path: str) -> None:
-    """Write ``df`` (with ``_part``) as one sorted Parquet file for each (_part, _file), files in parallel."""
-    numbered = with_file_index(df, keys, file_rows)
+def in_ranges(df: DataFrame, keys: Sequence[str], ranges: int, path: str) -> DataFrame:
+    """``df`` with the number of its range of (_part, keys), written to ``path`` so that every reader sees the same."""
+    dealt = df.repartitionByRange(ranges, PART, *[F.col(f"`{k}`") for k in keys]).withColumn(_RANGE, F.spark_partition_id())
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
+def with_file_index_by_ranges(ranged: DataFrame, keys: Sequence[str], file_rows: int) -> DataFrame:
+    """What ``with_file_index`` adds, for rows of ``in_ranges``: a task numbers one range, and the ranges' counts, a row
+    per partition and range, tell how many rows of the partition stand before it."""
+    earlier = Window.partitionBy(PART).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(PART, _RANGE).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col(PART).alias(_RANGE_PART), F.col(_RANGE).alias("__at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(_BEFORE))
+    inside = F.row_number().over(Window.partitionBy(PART, _RANGE).orderBy(*keys)).cast("long") - 1
+    joined = ranged.withColumn("__inside", inside).join(before, (F.col(PART) == F.col(_RANGE_PART)) & (F.col(_RANGE) == F.col("__at")))
+    place = F.col(_BEFORE) + F.col("__inside")
+    return joined.withColumn(FILE, F.call_function("div", place, F.lit(file_rows).cast("long"))).drop(_RANGE, _RANGE_PART, "__at", _BEFORE, "__inside")
+
+
+def write_files(df: DataFrame, keys: Sequence[str], file_rows: int, path: str, most: int = 0, work: str | None = None) -> None:
+    """Write ``df`` (with ``_part``) as one sorted Parquet file for each (_part, _file), files in parallel.
+
+    ``most`` is at least the number of rows of the largest partition. If that is more than TASK_ROWS, rows are numbered
+    by ranges, which wait in the folder ``work``; the files are the same.
+    """
+    if most > TASK_ROWS and work is not None:
+        ranges = max(2, -(-most // TASK_ROWS) * 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        numbered = with_file_index_by_ranges(in_ranges(df, keys, ranges, work), keys, file_rows).select(*df.columns, FILE)
+    else:
+        numbered = with_file_index(df, keys, file_rows)
     numbered.repartition(PART, FILE).sortWithinPartitions(PART, FILE, *keys).write.partitionBy(PART, FILE).parquet(path)
 
 

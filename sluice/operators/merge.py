@@ -38,10 +38,6 @@ def require_same_schema(base: DataFrame, new: DataFrame) -> None:
         raise SchemaMismatch(f"{base.schema.simpleString()} and {new.schema.simpleString()}")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k] == right[k] for k in keys])
-
-
 def classify(
     base: DataFrame,
     new: DataFrame,

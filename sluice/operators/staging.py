@@ -40,6 +40,22 @@ def take_rows(staged: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
     return staged.withColumn("__place", place).where(F.col("__place") <= rows).drop("__place")
 
 
+def rounds(staged: DataFrame, arrived: str, keys: Sequence[str], rows: int | None, turn: str, wave: str) -> DataFrame:
+    """Each row once, at its latest arrival, with the batch that merges it: ``turn``, then ``wave``.
+
+    A turn takes the ``rows`` oldest rows of each partition that are left (all if None), ties by key and by the rows
+    themselves. In a turn, a key's later versions wait for a later wave, so the latest is merged last; versions of a
+    key that arrived together stay together, for the check of the batch to refuse.
+    """
+    names = [F.col(f"`{n}`") for n in staged.columns if n != arrived]
+    once = staged.groupBy(*names).agg(F.max(F.col(arrived)).alias(arrived))
+    place = F.row_number().over(Window.partitionBy(PART).orderBy(arrived, *keys, F.xxhash64(*names))).cast("long") - 1
+    number = F.lit(0).cast("long") if rows is None else F.call_function("div", place, F.lit(rows).cast("long"))
+    taken = once.withColumn(turn, number)
+    later = F.dense_rank().over(Window.partitionBy(turn, *keys).orderBy(arrived))
+    return taken.withColumn(wave, later)
+
+
 def first_wins(tasks: DataFrame, replace: bool = False) -> DataFrame:
     """(queue, task_id, due): of several requests for a task the first due time counts, or the last asked for."""
     due = F.max_by("due", F.struct("asked", "due")) if replace else F.min("due")
@@ -48,8 +64,9 @@ def first_wins(tasks: DataFrame, replace: bool = False) -> DataFrame:
 
 def due_tasks(tasks: DataFrame, now: Column) -> DataFrame:
     """The earliest due task of each queue, ties by task_id."""
-    first = F.row_number().over(Window.partitionBy("queue").orderBy("due", "task_id"))
-    return tasks.where(F.col("due") <= now).withColumn("__n", first).where("__n = 1").drop("__n")
+    others = [n for n in tasks.columns if n not in ("queue", "due", "task_id")]
+    first = tasks.where(F.col("due") <= now).groupBy("queue").agg(F.min(F.struct("due", "task_id", *others)).alias("t"))
+    return first.select(*[F.col("queue") if n == "queue" else F.col(f"t.`{n}`") for n in tasks.columns])
 
 
 def queue_lengths(tasks: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta, timezone
+from threading import Event
 
 import pyarrow.parquet as pq
 import pytest
@@ -18,14 +19,16 @@ from sluice.errors import (
     TableError,
     TableExists,
     TableNotFound,
+    UnprocessedKeys,
 )
 from sluice.functions.partitioning import IntegerRange, StringHash
 from sluice.model import Subscription, SubscriptionGroup, TableDef, TableOptions
-from sluice.operators import staging
-from sluice.sources import manifests
+from sluice.operators import layout, staging
+from sluice.sources import manifests, storage
+from sluice.sources.storage import Store
 from sluice.streaming import ingest
 from sluice.streaming.tasks import Result, Tasker
-from sluice.warehouse import Warehouse
+from sluice.warehouse import Warehouse, widens
 
 K, V = T.StructField("k", T.LongType()), T.StructField("v", T.StringType())
 
@@ -56,11 +59,11 @@ def test_stage_merge_read(spark, house):
     house.ingest("t", "external.b", rows(spark, (25, "q")))
     assert {(r.source, r["_part"]) for r in house.pending("t").collect()} == {("external.a", "0"), ("external.a", "1"), ("external.b", "2")}
     assert house.staged_batch("t", "external.a", "0", 2).count() == 2
-    assert house.run_once() == [0]
+    assert house.run_once() == [0, 1]
     assert house.run_once() == []
     assert state(house) == [(1, "x"), (2, "y"), (3, "z"), (15, "w"), (25, "q")]
     house.ingest("t", "external.b", rows(spark, (2, "Y"), (4, "new")))
-    house.run_once()
+    assert house.run_once() == [2]
     assert state(house, keys=["0"]) == [(1, "x"), (2, "Y"), (3, "z"), (4, "new")]
     assert state(house, keys=["0"], index=1) == [(3, "z"), (4, "new")]
     assert [house.manifest("t", p)["version"] for p in "012"] == [1, 0, 0]
@@ -100,21 +103,142 @@ def test_replayed_and_conflicting_commits(spark, house):
     house.add_tables(table())
     assert house.commit("t", {"external.a": rows(spark, (1, "x"))}, batch_id="one") == 0
     assert house.commit("t", {"external.a": rows(spark, (1, "other"))}, batch_id="one") == 0
-    assert state(house) == [(1, "x")]
+    assert house.commit("t", {"external.a": rows(spark, (2, "y"))}, batch_id="s#7") == 1
+    assert house.commit("t", {"external.a": rows(spark, (2, "other"))}, batch_id="s#6") == 1
+    assert state(house) == [(1, "x"), (2, "y")]
     with pytest.raises(CommitConflict):
         house.store.publish(f"{house.root}/tables/t/commits/{0:010d}.json", {})
-    assert house.store.names(f"{house.root}/tables/t/commits") == [f"{0:010d}.json"]
+    assert house.store.names(f"{house.root}/tables/t/commits") == [f"{n:010d}.json" for n in range(2)]
 
 
 def test_a_failed_batch_keeps_its_rows(spark, house):
     house.add_tables(table())
     house.ingest("t", "external.a", rows(spark, (1, "x"), (1, "y")))
-    with pytest.raises(DuplicateKeys):
-        house.run_once()
+    run = house.run_once()
+    assert run == [] and [(t, s, type(e)) for t, s, e in run.failures] == [("t", "external.a", DuplicateKeys)]
     assert house.staged("t", "external.a").count() == 2
     assert house.manifests("t").count() == 0
 
 
+def test_one_failure_stops_no_other_source_or_table(spark, house):
+    house.add_tables(table("bad"), table())
+    house.ingest("bad", "external.a", rows(spark, (1, "x"), (1, "y")))
+    house.ingest("bad", "external.b", rows(spark, (1, "z")))
+    house.ingest("t", "external.a", rows(spark, (1, "x")))
+    house.ingest("t", "external.b", rows(spark, (1, "newer")))
+    run = house.run_once()
+    assert [(t, s) for t, s, _ in run.failures] == [("bad", "external.a")]
+    assert state(house) == [(1, "newer")] and house.read("bad").first().v == "z"
+    assert house.staged("bad", "external.a").count() == 2 and house.staged("bad", "external.b") is None
+
+
+@pytest.mark.parametrize("limit", [None, 1, 2, 3])
+def test_the_latest_version_of_a_key_is_merged_last(spark, house, limit):
+    house.add_tables(table(batch_rows=limit))
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for i, (k, v) in enumerate([(1, "a"), (2, "a"), (1, "b"), (3, "a"), (1, "c"), (1, "a"), (2, "b")]):
+        house.ingest("t", "external.a", rows(spark, (k, v)), arrived=start + timedelta(seconds=i))
+    run = house.run_once()
+    assert not run.failures and len(run) >= (3 if limit is None else 1)
+    assert state(house) == [(1, "a"), (2, "b"), (3, "a")]
+    assert house.staged("t", "external.a") is None
+
+
+def test_each_partition_waits_for_itself(spark, house):
+    house.add_tables(table(delay_seconds=10))
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    house.ingest("t", "external.a", rows(spark, (1, "x")), arrived=start)
+    house.ingest("t", "external.a", rows(spark, (2, "y"), (15, "w")), arrived=start + timedelta(seconds=8))
+    assert house.run_once(now=start + timedelta(seconds=12)) == [0]
+    assert state(house) == [(1, "x"), (2, "y")]
+    assert [(r.k, r["_arrived"].second) for r in house.staged("t", "external.a").collect()] == [(15, 8)]
+    again = Warehouse(spark, house.root)
+    again.add_tables(table(delay_seconds=10))
+    assert again.run_once(now=start + timedelta(seconds=17)) == []
+    assert again.run_once(now=start + timedelta(seconds=18)) == [1]
+    assert state(house) == [(1, "x"), (2, "y"), (15, "w")] and again.staged("t", "external.a") is None
+    assert house.vacuum("t") == 0 and state(house) == [(1, "x"), (2, "y"), (15, "w")]
+
+
+def test_running_for_a_time(spark, house):
+    house.add_tables(table())
+    house.ingest("t", "external.a", rows(spark, (1, "x")))
+    assert house.run(seconds=0.5) == [0]
+    stop = Event()
+    stop.set()
+    house.ingest("t", "external.a", rows(spark, (2, "x")))
+    assert house.run(stop=stop) == []
+
+
+def test_a_faster_writer_is_merged_with(spark, house, monkeypatch):
+    house.add_tables(table())
+    house.commit("t", {"external.a": rows(spark, (1, "x"))})
+    other = Warehouse(spark, house.root)
+    other.add_tables(table())
+    publish, raced = house.store.publish, []
+
+    def slow(path, record):
+        if not raced:
+            raced.append(other.commit("t", {"external.b": rows(spark, (2, "theirs"))}))
+        publish(path, record)
+
+    monkeypatch.setattr(house.store, "publish", slow)
+    assert house.commit("t", {"external.a": rows(spark, (3, "ours"))}) == 2 and raced == [1]
+    assert state(house) == [(1, "x"), (2, "theirs"), (3, "ours")]
+
+
+def test_large_partitions_are_numbered_by_ranges(spark, house, monkeypatch):
+    pairs = [(k * 7 % 10, f"v{k}") for k in range(10)] + [(10 + k, "w") for k in range(5)]
+    frame = rows(spark, *pairs).withColumn("_part", (F.col("k") / 10).cast("int").cast("string"))
+    whole = {(r.k, r["_file"]) for r in layout.with_file_index(frame, ["k"], 3).collect()}
+    ranged = layout.in_ranges(frame, ["k"], 4, f"{house.root}/ranges")
+    assert ranged.select("__range").distinct().count() > 1
+    assert {(r.k, r["_file"]) for r in layout.with_file_index_by_ranges(ranged, ["k"], 3).collect()} == whole
+    monkeypatch.setattr(layout, "TASK_ROWS", 3)
+    house.add_tables(table())
+    house.commit("t", {"external.a": rows(spark, *pairs)})
+    assert [o["num_rows"] for o in house.manifest("t", "0")["objects"]] == [2] * 5
+    assert state(house) == sorted(pairs)
+
+
+def test_processed_keys_must_name_the_batch(spark, house):
+    house.add_tables(table())
+    with pytest.raises(UnprocessedKeys):
+        house.commit("t", {"external.a": rows(spark, (1, "x"), (2, "y"))}, processed=spark.createDataFrame([(1,)], "k long"))
+
+
+def test_invalid_manifests_are_not_read(spark, house):
+    house.add_tables(table())
+    house.commit("t", {"external.a": rows(spark, *[(k, "v") for k in range(5)])})
+    good = house.manifest("t", "0")
+    bad = spark.createDataFrame([good | {"objects": good["objects"][1:]}], manifests.MANIFEST)
+    folder = house._last("t")["manifests"]
+    manifests.to_text(bad).write.mode("overwrite").text(f"{house.root}/tables/t/{folder}")
+    with pytest.raises(ManifestError):
+        house.read("t")
+
+
+def test_narrower_types_are_widened(spark, house):
+    house.add_tables(table())
+    house.ingest("t", "external.a", rows(spark, (1, "x")).withColumn("k", F.col("k").cast("smallint")))
+    house.run_once()
+    assert state(house) == [(1, "x")]
+    assert widens(T.FloatType(), T.DoubleType()) and not widens(T.LongType(), T.IntegerType()) and not widens(T.LongType(), T.DoubleType())
+
+
+def test_files_of_the_driver(spark, house, tmp_path):
+    (tmp_path / "own").write_text("text")
+    house.store.put(str(tmp_path / "own"), f"{house.root}/far")
+    house.store.fetch(f"{house.root}/far", str(tmp_path / "back"))
+    assert (tmp_path / "back").read_text() == "text"
+
+
+def test_work_folders_are_marked_for_removal(spark):
+    path = storage.work_dir(spark, "marked")
+    assert Store(spark).exists(path) and Store(spark).remove_at_exit(path)
+    assert not Store(spark).remove_at_exit(path + "-none")
+
+
 def test_unfinished_writes_are_not_seen(spark, house):
     house.add_tables(table())
     house.commit("t", {"external.a": rows(spark, (1, "x"))})
@@ -188,7 +312,7 @@ def test_definitions_are_checked(spark, house):
         house.table("u")
     with pytest.raises(SubscriptionNotFound):
         house.ingest("t", "external.none", rows(spark, (1, "x")))
-    for wrong in (rows(spark, (1, "x")).select("k"), rows(spark, (1, "x")).withColumn("k", F.col("k").cast("int")), rows(spark, (1, "x")).toDF("k", "k")):
+    for wrong in (rows(spark, (1, "x")).select("k"), rows(spark, (1, "x")).withColumn("k", F.col("k").cast("double")), rows(spark, (1, "x")).toDF("k", "k")):
         with pytest.raises(SchemaMismatch):
             house.ingest("t", "external.a", wrong)
     house.ingest("t", "external.a", rows(spark, (1, "x")).select("v", "k"))
