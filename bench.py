@@ -22,8 +22,12 @@ HEADLINE = (
     "q_pack_files",
     "q_manifest_build",
     "q_queue_first_wins",
+    "q_merge_multi_batch",
+    "q_multi_source",
+    "q_snapshot_read",
+    "q_stream_ingest",
 )
-RUNS = 1
+RUNS = 3
 
 
 def main() -> None:

@@ -79,6 +79,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select(*[c.name for c in EVENT_COLUMNS])
 
 
+def _merged(house: Warehouse, table: str) -> DataFrame:
+    """A table after all that is staged was merged."""
+    for _, _, error in house.run_once().failures:
+        raise error
+    return house.read(table)
+
+
 def insert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     house = Warehouse(spark, work_dir(spark, "roundtrip"))
     house.add_tables(_events_table("events"))
@@ -256,21 +263,43 @@ def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     house.ingest("events", "external.low", rows)
     house.ingest("events", "external.high", rows.withColumn("event_id", F.col("event_id") + NEW_KEYS))
-    house.run_once()
-    return house.read("events")
+    return _merged(house, "events")
 
 
-def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word counts by a transformer in the JVM and by one over Arrow batches, side by side."""
+LENGTH_FIELDS = (
+    T.StructField("doc_id", T.LongType()),
+    T.StructField("chars", T.LongType()),
+    T.StructField("arrow_chars", T.LongType()),
+)
+
+
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """A source's transformer: lengths of texts by the JVM and over Arrow batches."""
 
     def lengths(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t or "") for t in texts], pa.int64())], ["doc_id", "arrow_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("chars"), pa.array([len(t or "") for t in texts], pa.int64())], ["doc_id", "chars", "arrow_chars"]
+            )
+
+    native = docs.withColumn("chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return native.mapInArrow(lengths, T.StructType(list(LENGTH_FIELDS)))
+
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    native = docs.transform(lambda df: df.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")))
-    return native.join(docs.mapInArrow(lengths, "doc_id bigint, arrow_chars bigint"), "doc_id")
+def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents merged into a table of their lengths, by way of the source's transformer."""
+    texts = (T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()))
+    table = (
+        TableDef("lengths", columns=LENGTH_FIELDS)
+        .with_partition("doc_id", IntegerRange(10_000))
+        .with_group(SubscriptionGroup("all", (Subscription("documents", texts, with_lengths),)))
+        .with_options(TableOptions(delay_seconds=0, file_rows=100_000))
+    )
+    house = Warehouse(spark, work_dir(spark, "lengths"))
+    house.add_tables(table)
+    house.ingest("lengths", "external.documents", _read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _merged(house, "lengths")
 
 
 ORDER_FIELDS = (

@@ -161,7 +161,7 @@ class Warehouse:
         for definition in self.tables():
             for subscription in definition.subscriptions():
                 try:
-                    made.extend(self._merge_due(definition, subscription, now or datetime.now(timezone.utc)))
+                    made.extend(self.merge_due(definition.name, subscription.source_name, now))
                 except Exception as error:  # noqa: BLE001 - one source's failure is no other's
                     made.failures.append((definition.name, subscription.source_name, error))
         return made
@@ -178,8 +178,10 @@ class Warehouse:
                 time.sleep(idle)
         return made
 
-    def _merge_due(self, definition: TableDef, subscription: Subscription, now: datetime) -> list[int]:
-        table, source = definition.name, subscription.source_name
+    def merge_due(self, table: str, source: str, now: datetime | None = None) -> list[int]:
+        """Merge the partitions of a source that are due; the numbers of the commits made."""
+        definition = self.table(table)
+        subscription, now = definition.subscription(source), now or datetime.now(timezone.utc)
         folders = self._staged_folders(table, source)
         if not folders:
             return []

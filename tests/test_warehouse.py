@@ -1,3 +1,4 @@
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from threading import Event
 
@@ -26,7 +27,7 @@ from sluice.model import Subscription, SubscriptionGroup, TableDef, TableOptions
 from sluice.operators import layout, staging
 from sluice.sources import manifests, storage
 from sluice.sources.storage import Store
-from sluice.streaming import ingest
+from sluice.streaming import ingest, tasks
 from sluice.streaming.tasks import Result, Tasker
 from sluice.warehouse import Warehouse, widens
 
@@ -352,6 +353,48 @@ def test_stream_and_replay(spark, house, tmp_path):
     assert state(house) == [(1, "x"), (2, "Y"), (30, "z")]
 
 
+@dataclass(frozen=True)
+class Note:
+    n: int
+
+
+def test_tasks_outlive_their_tasker(house):
+    now, seen = [100.0], []
+    where = {"clock": lambda: now[0], "store": house.store, "path": f"{house.root}/tasks.json"}
+    first = Tasker(**where)
+    first.register_queue("slow")
+    first.register_task("note", seen.append, Note)
+    assert first.add("slow", "note", "x", Note(7), delay=10) and first.add("slow", "note", "y", {"n": 8}, delay=20)
+    second = Tasker(**where)
+    second.register_queue("slow")
+    second.register_task("note", seen.append, Note)
+    assert not second.run_next() and not second.add("slow", "note", "x", Note(9))
+    now[0] += 15
+    assert second.run_next() and seen == [Note(7)]
+    assert Tasker(**where).length("slow") == 1
+
+
+def test_the_loop_goes_on_after_a_failure():
+    tasker, seen = Tasker(retry_seconds=100), []
+    tasker.register_queue("q")
+    tasker.register_task("note", lambda p: seen.append(p["n"]))
+    tasker.register_task("fails", lambda p: p["none"])
+    tasker.add("q", "fails", "a", {})
+    tasker.add("q", "note", "b", {"n": 1})
+    assert tasker.run(seconds=0.2) == 1 and seen == [1]
+    assert [(i, type(e)) for i, e in tasker.failures] == [("a", KeyError)] and tasker.length("q") == 1
+
+
+def test_merges_as_tasks(spark, house):
+    house.add_tables(table())
+    tasker = Tasker()
+    ask = tasks.schedule_merges(house, tasker)
+    house.ingest("t", "external.a", rows(spark, (1, "x")))
+    assert ask("t", "external.a") and not ask("t", "external.a")
+    assert tasker.run_next() and not tasker.run_next()
+    assert state(house) == [(1, "x")] and tasker.length("merges") == 0
+
+
 def test_tasks():
     now = [100.0]
     seen = []
