@@ -3,9 +3,11 @@ import re
 import unicodedata
 
 import pytest
+from conftest_data import DATA
 from odd import check_types, docs, no_docs, odd_docs, odd_rows, prose
 
 from sluice.llm import bloom, exact_dedup, fingerprints
+from sluice.llm.common import read
 
 KEY = lambda i: -1 if i is None else i
 
@@ -91,3 +93,24 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.fingerprints(no_docs(spark)).count() == 0
     alone = fingerprints.fingerprints(docs(spark, [(1, "abcd", None, None)])).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and alone.near_next == 1.0
+
+
+def test_fingerprints_of_the_table_by_brute_force(spark):
+    table = read(spark, DATA, "documents")
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fingerprints.fingerprints(table).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()])
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1000])
+def test_rows_that_share_an_id_follow_each_other(spark, monkeypatch, stretch):
+    monkeypatch.setattr(fingerprints, "STRETCH_ROWS", stretch)
+    ids = [None] * 40 + [5] * 30 + list(range(20))
+    rows = [(i, f"text {k} of {i}", None, None) for k, i in enumerate(ids)] + [(5, "again", None, None)] * 4
+    got = fingerprints.with_next_text(docs(spark, rows)).collect()
+    own = {t: KEY(i) for i, t, *_ in rows}
+    assert sorted(r.next_text for r in got) == sorted(r.text for r in got) == sorted(t for _, t, *_ in rows)
+    falls = [own[r.text] - own[r.next_text] for r in got]
+    assert sorted({f for f in falls if f < 0}) == [-1 - 19] and falls.count(-20) == 1
+    assert {f for f in falls if f > 0} <= {1}
+    again = fingerprints.with_next_text(docs(spark, rows[::-1]).repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))

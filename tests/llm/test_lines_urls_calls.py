@@ -69,6 +69,28 @@ def test_short_lines_and_passages(spark):
         assert r.removed_chars == len(texts[i]) - len(r.kept_text) and r.changed == bool(r.removed)
 
 
+def test_lines_of_the_table_by_brute_force(spark):
+    """Over the whole table: every line and paragraph that stands at an earlier place is cut, and nothing else."""
+    table = read(spark, DATA, "documents").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    seen, cut = set(), {}
+    for i, text in sorted(texts.items()):
+        found = []
+        for block in re.finditer(r"(?:[^\n]*\S[^\n]*(?:\n|$))+", text):
+            lines = [(m.start() + block.start(), m.end() + block.start()) for m in re.finditer(r"[^\n]*\n|[^\n]+$", block.group())]
+            words = [re.sub(r"[\W_]+", " ", text[a:b].lower()).split() for a, b in lines]
+            if len(lines) > 1:
+                found.append((lines[0][0], sum((w or text[a:b].split() for w, (a, b) in zip(words, lines, strict=True)), []), lines[-1][1]))
+            found += [(a, w or text[a:b].split(), b) for w, (a, b) in zip(words, lines, strict=True)]
+        gone = cut.setdefault(i, bytearray(len(text)))
+        for a, words, b in sorted(found, key=lambda f: (f[0], -f[2])):
+            if tuple(words) in seen:
+                gone[a:b] = b"\x01" * (b - a)
+            seen.add(tuple(words))
+    got = {r.doc_id: r.kept_text or "" for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {i: "".join(c for c, g in zip(t, cut[i], strict=True) if not g) for i, t in texts.items()}
+
+
 def test_lines_of_odd_rows(spark):
     got = line_dedup.dedup_lines(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows())

@@ -1,4 +1,6 @@
+import json
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -142,6 +144,57 @@ def test_given_shares(spark):
     assert sum(p.length for p in early if p.doc_id % 2 == 0) / sum(p.length for p in early) == pytest.approx(0.75, abs=0.05)
 
 
+def merged(parts):
+    """(doc_id, start, length) with what follows on in the same document as one."""
+    out = []
+    for doc, start, length in parts:
+        if out and out[-1][0] == doc and out[-1][1] + out[-1][2] == start:
+            out[-1][2] += length
+        else:
+            out.append([doc, start, length])
+    return out
+
+
+@pytest.mark.parametrize("shares", [{"a": 3.0, "b": 1.0, "c": 2.0}, None])
+def test_deficit_round_robin_by_simulation(spark, shares):
+    """The stream is what serving the queues round by round gives, with each queue in the order it came out in."""
+    window, quantum = 512, 64
+    rows = [(i, prose(i, 10 + i * 13 % 70), "en", "abcb"[i % 4]) for i in range(70)]
+    got = sorted(packing.pack(docs(spark, rows), shares=shares, window=window, quantum=quantum).collect(), key=lambda p: (p.sequence_id, p.offset))
+    source, queues, totals = {r[0]: r[3] for r in rows}, {}, {}
+    for p in got:
+        if p.start == 0:
+            queues.setdefault(source[p.doc_id], []).append((p.doc_id, p.doc_tokens))
+            totals[source[p.doc_id]] = totals.get(source[p.doc_id], 0) + p.doc_tokens
+    quota = {s: Fraction(w) * window / sum(map(Fraction, (shares or totals).values())) for s, w in (shares or totals).items()}
+    left = {s: [(d, at, min(quantum, n - at)) for d, n in q for at in range(0, n, quantum)] for s, q in queues.items()}
+    deficit, stream = dict.fromkeys(left, Fraction(0)), []
+    while any(left.values()):
+        for s in sorted(left):
+            deficit[s] += quota[s]
+            while left[s] and left[s][0][2] <= deficit[s]:
+                stream.append(left[s].pop(0))
+                deficit[s] -= stream[-1][2]
+    assert merged((p.doc_id, p.start, p.length) for p in got) == merged(stream)
+
+
+def test_layout_does_not_depend_on_the_files(spark):
+    rows = [(i % 50, prose(i, 20 + i % 30), "en", "ab"[i % 2]) for i in range(90)] + [(7, prose(7, 20), "en", "a")] * 3
+    one = packing.pack(docs(spark, rows).coalesce(1), window=512, quantum=64).collect()
+    other = packing.pack(docs(spark, rows[::-1]).repartition(5), window=512, quantum=64).collect()
+    assert sorted(one) == sorted(other)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    described = json.load(open(packing.TOKENIZER))
+    described["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(described))
+    words, whole = packing.WordIds(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    for text in ("Some Cased  Words, and more", "", "x\x1fy"):
+        assert words.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, words.dtype).tobytes()
+    assert packing.word_ids(packing.TOKENIZER).by_words and not words.by_words
+
+
 def test_pack_nothing(spark):
     assert packing.pack(no_docs(spark)).count() == 0
 

@@ -1,5 +1,7 @@
 import corpus_pipeline
 from conftest_data import DATA
+from odd import no_docs, odd_docs
+from pyspark.sql import functions as F
 from test_near_dup import brute
 
 from sluice.llm import mixing, packing
@@ -37,3 +39,27 @@ def test_stages_by_brute_force(spark):
     for r in pieces.collect():
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {i: n * (len(words.ids(rows[i].text)) // 2 + 1) for i, n in copies.items()}
+
+
+def through(spark, rows, folder):
+    rows.write.parquet(f"{folder}/documents.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, ids on several rows and extra columns with clashing names."""
+    got = through(spark, odd_docs(spark), tmp_path / "odd")
+    assert got and {r.doc_id for r in got} <= {5, 7, 9, 10, None, 12, 13}
+    pieces = {(r.doc_id, r.start, r.sequence_id, r.offset) for r in got}
+    assert len(pieces) == len(got)
+
+
+def test_no_labels_of_language(spark, tmp_path):
+    rows = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in through(spark, rows, tmp_path / "none")} <= {5, 7, 9, 10, None, 12, 13}
+    kept = corpus_pipeline.identify_language(spark, rows, "")
+    assert kept.columns == rows.columns and kept.count() == 10
+
+
+def test_empty_table(spark, tmp_path):
+    assert through(spark, no_docs(spark), tmp_path / "empty") == []
