@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The formats below are those of an existing stored layout, which queries parse and write. The warehouse's
+# own files lie otherwise (see warehouse.py).
+
+
 def data_key(table: Column | str, key: Column | str, version: Column | str, index: Column | str) -> Column:
     """``table-state/part-data/{table}/{key}/d_{version}_{index}.parquet``."""
     return F.format_string("table-state/part-data/%s/%s/d_%s_%s.parquet", *[_text(c) for c in (table, key, version, index)])

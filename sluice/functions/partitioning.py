@@ -90,12 +90,10 @@ class Failing:
 
 def fnv1(column: Column) -> Column:
     """32-bit FNV-1 of a string's UTF-8 bytes, as a long."""
-    digits = F.hex(column.cast("binary"))
+    # as ISO-8859-1 every byte is one character, and its code the byte
+    letters = F.split(F.decode(column.cast("binary"), "ISO-8859-1"), "")
     octets = F.when(F.octet_length(column) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.octet_length(column)),
-            lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"),
-        )
+        F.transform(letters, lambda c: F.ascii(c).cast("long"))
     )
     return F.aggregate(
         octets, F.lit(FNV_OFFSET).cast("long"), lambda h, b: F.pmod(h * FNV_PRIME, F.lit(UINT32)).bitwiseXOR(b)
