@@ -17,6 +17,11 @@ from pyspark.sql.window import Window
 
 from .bloom import BITS_PER_ROW, MAX_BITS, maybe_repeated, repeated_slots
 
+#: Rows of an Arrow batch, and what Spark's default is.
+BATCH_ROWS = 1_000
+DEFAULT_BATCH_ROWS = 10_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _local_dir: str | None = None
 
 
@@ -49,8 +54,14 @@ def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package wherever they run: its code is sent to them once."""
-    context = df.sparkSession.sparkContext
+    """``mapInArrow`` whose workers can import this package wherever they run: its code is sent to them once.
+
+    Where the session leaves Spark's default number of rows in a batch, it is lowered to BATCH_ROWS: a batch of whole
+    texts is held by the JVM, on its way, and by the worker at the same time, for each core.
+    """
+    conf, context = df.sparkSession.conf, df.sparkSession.sparkContext
+    if conf.get(_BATCH, str(DEFAULT_BATCH_ROWS)) == str(DEFAULT_BATCH_ROWS):
+        conf.set(_BATCH, str(BATCH_ROWS))
     if not any(name.startswith("sluice-code") for name in context._python_includes):
         package = Path(__file__).resolve().parents[1]
         made = Path(tempfile.mkdtemp(prefix="sluice-code-")) / "sluice-code"
