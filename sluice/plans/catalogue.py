@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from ..model import Subscription, SubscriptionGroup, TableDef, TableOptions
 from ..operators import layout, merge, staging, validate
 from ..operators.layout import PART
 from ..sources import manifests
-from ..sources.storage import work_dir
+from ..sources.storage import Store, work_dir
 from ..streaming import ingest
 from ..warehouse import Warehouse
 
@@ -201,6 +203,14 @@ def pack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.file_counts(layout.with_file_index(parted, keys, 1000))
 
 
+def pack_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of partitions that are too large for one task, numbered by ranges."""
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    parted = rows.withColumn(PART, partition_key(rows, [("l_orderkey", IntegerRange(100_000))]))
+    ranged = layout.in_ranges(parted, rows.columns, 16, f"{work_dir(spark, 'ranges')}/rows")
+    return layout.file_counts(layout.with_file_index_by_ranges(ranged, rows.columns, 1000))
+
+
 def _manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir)
     parted = rows.withColumn(PART, partition_key(rows, [("o_orderkey", IntegerRange(5000))]))
@@ -287,6 +297,52 @@ def with_lengths(docs: DataFrame) -> DataFrame:
     return native.mapInArrow(lengths, T.StructType(list(LENGTH_FIELDS)))
 
 
+def round_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as staged rows, each with the batch that would merge it."""
+    staged = _parted_events(spark, sf_dir).select("event_id", "user_id", PART, F.timestamp_seconds("event_id").alias("arrived"))
+    return staging.rounds(staged, "arrived", ["user_id"], 50, "turn", "wave").select("event_id", "turn", "wave")
+
+
+def newly_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    return staging.newly_added(rows.where("event_type <> 'click'"), rows.unionByName(rows))
+
+
+def run_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events staged three times, some with other values: run_once merges the versions in the order they arrived."""
+    house = Warehouse(spark, work_dir(spark, "versions"))
+    house.add_tables(_events_table("events"))
+    rows = _events(spark, sf_dir)
+    for i in range(3):
+        batch = rows.where(F.col("event_id") % (i + 1) == 0).withColumn("value", F.col("value") + F.lit(float(i)))
+        house.ingest("events", "external.events", batch, arrived=datetime(2024, 1, 1, 0, 0, i, tzinfo=timezone.utc))
+    return _merged(house, "events")
+
+
+def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders from a source with narrower numbers than the table's."""
+    house = Warehouse(spark, work_dir(spark, "widened"))
+    house.add_tables(orders_table())
+    narrow = _orders(spark, sf_dir).withColumn("o_custkey", F.col("o_custkey").cast("int")).withColumn("o_totalprice", F.col("o_totalprice").cast("float"))
+    house.ingest("orders", "external.orders", narrow)
+    return _merged(house, "orders")
+
+
+def store_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions (a table of fixed size) as one file each: written, listed, one removed, and read again."""
+    folder, store = work_dir(spark, "files"), Store(spark)
+    rows = _read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long"), "r_name")
+    for key, name in rows.collect():
+        store.write_text(f"{folder}/{name}.json", json.dumps([key, name]))
+    store.remove(f"{folder}/ASIA.json")
+    return spark.createDataFrame([tuple(json.loads(store.read_text(f"{folder}/{n}"))) for n in store.names(folder)], rows.schema)
+
+
+def read_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second file of every partition."""
+    return merged_orders(spark, sf_dir).read("orders", index=1)
+
+
 def transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents merged into a table of their lengths, by way of the source's transformer."""
     texts = (T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()))
@@ -403,6 +459,7 @@ QUERIES: dict[str, Query] = {
         merge_multi_batch,
         merge_keep_old,
         pack_files,
+        pack_ranges,
         manifest_build,
         manifest_json,
         manifest_latest,
@@ -411,6 +468,12 @@ QUERIES: dict[str, Query] = {
         queue_first_wins,
         queue_due,
         queue_length,
+        round_batches,
+        newly_added,
+        run_versions,
+        widened,
+        store_files,
+        read_index,
         multi_source,
         transform,
         snapshot_read,

@@ -60,6 +60,18 @@ union all select b.o_orderkey, b.o_totalprice, 'old' from base b left join new n
     "q_pack_files": """with f as (select (l_orderkey // 1000)::varchar as _part,
   ((row_number() over (partition by l_orderkey // 1000 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // 1000)::int as index from lineitem)
 select _part, index, count(*) as num_rows from f group by all""",
+    "q_pack_ranges": """with f as (select (l_orderkey // 100000)::varchar as _part,
+  ((row_number() over (partition by l_orderkey // 100000 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // 1000)::int as index from lineitem)
+select _part, index, count(*) as num_rows from f group by all""",
+    "q_round_batches": """with t as (select event_id, user_id, (row_number() over (partition by user_id // 10 order by event_id) - 1) // 50 as turn from events)
+select event_id, turn, (dense_rank() over (partition by turn, user_id order by event_id))::int as wave from t""",
+    "q_newly_added": "select distinct event_id, user_id, event_type, value from events where event_type = 'click'",
+    "q_run_versions": """select event_id, user_id, event_type,
+  value + case when event_id % 3 = 0 then 2.0::double when event_id % 2 = 0 then 1.0::double else 0.0::double end as value from events""",
+    "q_widened": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice::float::double as o_totalprice, o_orderpriority from orders",
+    "q_store_files": "select r_regionkey, r_name from region where r_name <> 'ASIA'",
+    "q_read_index": f"""with {INPUTS} select * from state
+  qualify (row_number() over (partition by o_orderkey // 5000 order by o_orderkey) - 1) // 1000 = 1""",
     "q_manifest_build": f"""with {FILES} select '1' as id, partition_key, 1::int as version,
   'table-state/part-data/orders/' || partition_key || '/d_1_' || index || '.parquet' as key, index, num_rows from files""",
     "q_manifest_json": f"with {FILES} select 'orders' as table_name, partition_key, count(*)::int as files, true as valid from files group by all",
