@@ -20,6 +20,8 @@ from .bloom import BITS_PER_ROW, MAX_BITS, maybe_repeated, repeated_slots
 #: Rows of an Arrow batch, and what Spark's default is.
 BATCH_ROWS = 1_000
 DEFAULT_BATCH_ROWS = 10_000
+#: Narrow rows that one task may hold of one join key.
+ONE_TASK_ROWS = 1_000_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _local_dir: str | None = None
@@ -93,6 +95,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return few.unionByName(rest)
 
 
+def hot_keys(rows: DataFrame, key: str, heavy: int = 2048) -> DataFrame | None:
+    """The values of ``key`` with more than 1 / ``heavy`` of the rows, so fewer than ``heavy``, as a small table.
+
+    None where all rows together are few enough for one task.
+    """
+    total = rows.count()
+    if total <= ONE_TASK_ROWS:
+        return None
+    return materialise(rows.groupBy(key).count().where(F.col("count") > max(1, total // heavy)).select(key), "hot")
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``table``, which has one row per ``key`` at most: keys in ``hot`` by broadcast, others by shuffle."""
+    if hot is None:
+        return rows.join(table, key, how)
+    few = F.broadcast(hot)
+    often = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
+    return often.unionByName(rows.join(few, key, "left_anti").join(table, key, how))
+
+
 def running_sum(
     df: DataFrame, group: str, bucket: str, order: Sequence[Column], value: Column, out: str, per_group: DataFrame | None = None
 ) -> DataFrame:

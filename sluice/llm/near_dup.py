@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, drop_rows, join_groups, map_batches, materialise, pick_ids
+from .common import doc_columns, drop_rows, hot_keys, join_groups, join_unique, map_batches, materialise, pick_ids
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -369,7 +369,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected part.
 
     Each level hooks every node to its smallest neighbour if that is smaller, follows the hooks to their roots, and goes
-    on with the edges that are left between roots, each once; so the edges shrink from level to level.
+    on with the edges that are left between roots, each once; so the edges shrink from level to level. A node that is the
+    root of many, or an end of many edges, is no join key of one task.
     """
 
     def between(pairs: DataFrame) -> DataFrame:
@@ -385,19 +386,22 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         roots = materialise(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks")
         while True:
-            roots = materialise(roots.join(step(roots), "up").select("node", F.col("far").alias("up"), (F.col("far") < F.col("up")).alias("moved")), "hooks")
+            hops = join_unique(roots, step(roots), "up", hot_keys(roots, "up"))
+            roots = materialise(hops.select("node", F.col("far").alias("up"), (F.col("far") < F.col("up")).alias("moved")), "hooks")
             if roots.where("moved").isEmpty():
                 break
             roots = roots.select("node", "up")
         roots = roots.select("node", "up")
         levels.append(roots)
         of = lambda end: roots.select(F.col("node").alias(end), F.col("up").alias(f"{end}_root"))  # noqa: B023, E731
-        moved = left.join(of("a"), "a").join(of("b"), "b")
+        moved = join_unique(join_unique(left, of("a"), "a", hot_keys(left, "a")), of("b"), "b", hot_keys(left, "b"))
         left = between(moved.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     labels = levels.pop().withColumnRenamed("up", "label")
     while levels:
         later = labels.select(F.col("node").alias("up"), "label")
-        labels = materialise(levels.pop().join(later, "up", "left").select("node", F.coalesce("label", "up").alias("label")), "labels")
+        lower = levels.pop()
+        named = join_unique(lower, later, "up", hot_keys(lower, "up"), "left")
+        labels = materialise(named.select("node", F.coalesce("label", "up").alias("label")), "labels")
     return labels
 
 

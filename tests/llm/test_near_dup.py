@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from odd import check_types, docs, no_docs, odd_docs, odd_rows, prose
 
-from sluice.llm import near_dup
+from sluice.llm import common, near_dup
 from sluice.llm.common import read
 
 
@@ -121,6 +121,16 @@ def test_components_of_a_long_chain(spark):
     assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Roots and ends that many edges share go by broadcast, and nothing changes."""
+    hubs = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(300, 450)] + [(i, i + 1) for i in range(600, 640)]
+    table = spark.createDataFrame([*hubs, (199, 620), (7, 7)], "a long, b long")
+    expected = {**dict.fromkeys([*range(200), *range(600, 641)], 0), **dict.fromkeys([*range(300, 450), 500], 300)}
+    assert {r.node: r.label for r in near_dup.components(table).collect()} == expected
+    monkeypatch.setattr(common, "ONE_TASK_ROWS", 0)
+    assert {r.node: r.label for r in near_dup.components(table).collect()} == expected
+
+
 def test_keep_one_tells_rows_apart(spark):
     """An id on several texts: one row of each class stays, and nothing else goes; rows without an id rank last."""
     a, b, c, d, e = (prose(k, 60) for k in (1, 2, 3, 4, 8))
