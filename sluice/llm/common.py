@@ -6,7 +6,7 @@ import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -41,18 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost no recompute.
 
-    The folder is removed when the application ends.
+    With ``by``, in folders by the values of those columns. The folder is removed when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    return materialise_all([df], label, codec, by)
+
+
+def materialise_all(parts: Iterable[DataFrame], label: str, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:
+    """``materialise`` for the rows of one or more tables of one schema, which are written one after the other."""
+    path = ""
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or f"{shared_dir(spark)}/sluice/{label}-{uuid.uuid4().hex}"
+        df.write.mode("append").partitionBy(*by).option("compression", codec).parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

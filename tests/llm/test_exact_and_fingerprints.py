@@ -40,6 +40,22 @@ def test_exact_empty_and_hot(spark):
     assert sorted(r.doc_id for r in exact_dedup.drop_copies(hot).collect()) == sorted([i for i in range(6000) if i % 3] + [5997])
 
 
+def test_shards_change_no_result(spark):
+    rows = docs(spark, [(i, "same" if i % 3 == 0 else f"text {i // 2}", "en", "a") for i in range(300)])
+    told = exact_dedup.probed(
+        rows.selectExpr("doc_id", "sha2(text, 256) AS text_sha256", "monotonically_increasing_id() AS row_no"), 300, max_bits=11
+    ).collect()
+    assert len(told) == 300
+    times = {}
+    for r in told:
+        times[r.text_sha256] = times.get(r.text_sha256, 0) + 1
+    assert all(r.maybe for r in told if times[r.text_sha256] > 1)
+    alone = [r.maybe for r in told if times[r.text_sha256] == 1]
+    assert len(alone) == 100 and sum(alone) <= 10
+    in_one = sorted(map(tuple, exact_dedup.exact_dedup(rows).collect()))
+    assert sorted(map(tuple, exact_dedup.exact_dedup(rows, max_bits=11).collect())) == in_one
+
+
 def test_drop_copies_keeps_columns(spark):
     rows = odd_docs(spark)
     left = exact_dedup.drop_copies(rows)
