@@ -161,7 +161,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _maybe_in(docs: DataFrame, key: Column, hashes: DataFrame, total: int) -> DataFrame:
+def maybe_in(docs: DataFrame, key: Column, hashes: DataFrame, total: int) -> DataFrame:
     """``docs`` with ``__in``: false only where ``key`` (a hash) is not in ``hashes``, told by a broadcast bit map of
     bounded size."""
     bits = power_of_two(total * BITS_PER_ROW, 16, MAX_BITS)
@@ -169,13 +169,13 @@ def _maybe_in(docs: DataFrame, key: Column, hashes: DataFrame, total: int) -> Da
     return maybe_repeated(docs.withColumn("__key_hash", key), "__key_hash", maps, bits, "__in").drop("__key_hash")
 
 
-def pick_ids(docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
-    """The rows of ``docs`` that may have one of ``ids`` (doc_id): all that have, and a small share of the others.
+def pick_ids(docs: DataFrame, ids: DataFrame, total: int, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that may have one of ``ids`` (``key``): all that have, and a small share of the others.
 
     Rows are dropped where they are read, and none is shuffled.
     """
-    hashes = ids.select(F.xxhash64("doc_id").alias("__hash"))
-    return _maybe_in(docs, F.xxhash64("`doc_id`"), hashes, total).where("__in").drop("__in")
+    hashes = ids.select(F.xxhash64(key).alias("__hash"))
+    return maybe_in(docs, F.xxhash64(f"`{key}`"), hashes, total).where("__in").drop("__in")
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, once: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def drop_rows(docs: DataFrame, gone: DataFrame, once: DataFrame) -> DataFrame:
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__other"), F.col("stays").alias("__stays"))
     hashes = marks.select(F.xxhash64("__id", "__other").alias("__hash"))
     own = docs.withColumn("__tie", F.xxhash64("`text`"))
-    told = _maybe_in(own, F.xxhash64(F.col("`doc_id`").cast("long"), "__tie"), hashes, marks.count())
+    told = maybe_in(own, F.xxhash64(F.col("`doc_id`").cast("long"), "__tie"), hashes, marks.count())
     same = F.col("`doc_id`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__other"))
     seen = told.where("__in").join(marks, same, "left")
     single = seen.where("__stays").dropDuplicates(["__id", "__other"])

@@ -15,7 +15,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return line_dedup.dedup_passages(read(spark, sf_dir, "documents"))
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from conftest_data import DATA
 from odd import check_types, docs, no_docs, odd_docs, odd_rows, prose
 from pyspark.sql import functions as F
 
-from sluice.llm import line_dedup, tool_calls, url_filter
+from sluice.llm import line_dedup, queries, tool_calls, url_filter
 from sluice.llm.common import read
 
 
@@ -100,6 +100,70 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.dedup_lines(no_docs(spark)).count() == 0
 
 
+def brute_passages(texts, least=50):
+    """doc_id -> the words that stay, by going through every run of words in rank order."""
+    seen, out = set(), {}
+    for i, text in sorted(texts.items()):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        gone = [False] * len(words)
+        for k in range(len(words) - least + 1):
+            run = tuple(words[k : k + least])
+            if run in seen:
+                gone[k : k + least] = [True] * least
+            seen.add(run)
+        out[i] = [w for w, g in zip(words, gone, strict=True) if not g]
+    return out
+
+
+def test_passages_wherever_they_stand(spark):
+    """Passages inside lines, with other line breaks, case and marks; of 50 words but not of 49; in and over one text."""
+    a, b, c = (prose(k, n) for k, n in ((1, 60), (2, 50), (4, 49)))
+    texts = {
+        1: f"One begins {a} and ends. {c} One.\nAll rights reserved.",
+        2: f"Two is {a.upper().replace(' ', ',\n')}! (Then) {b} two ends",
+        3: f"{c} three\n\n{b}, {prose(11, 70)}.\n\nlast\nAll rights reserved.",
+        4: "the " * 300 + "end",
+        5: f"{' '.join(a.split()[30:])} {b} five " + "x y z. " * 40,
+        6: "nothing in six\nAll rights reserved.",
+        7: b,
+        8: None,
+        9: prose(11, 70) + " 这是" + "一二三四五六七八九十" * 6,
+        10: "前" + "一二三四五六七八九十" * 5 + "后",
+    }
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(docs(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    left = {i: re.findall(r"[^\W_]+", (r.kept_text or "").lower()) for i, r in got.items()}
+    want = brute_passages({i: t for i, t in texts.items() if i < 9})
+    assert {i: w for i, w in left.items() if i < 9} == want
+    assert [got[i].kept_text for i in (1, 2, 6, 7, 8, 10)] == [texts[1], "Two is (Then) two ends".replace(" two", f" {b} two"), texts[6], "", None, "前后"]
+    assert got[9].kept_text == "这是一二三四五六七八九十"
+    for i, r in got.items():
+        assert r.changed == bool(r.removed) == (r.kept_text != texts[i])
+        assert r.removed_chars == sum(s.end - s.start for s in r.removed) == len(texts[i] or "") - len(r.kept_text or "")
+        assert all(x.end <= y.start for x, y in zip(r.removed, r.removed[1:], strict=False))
+    assert [(s.kept_doc_id, s.kept_start) for s in got[2].removed] == [(1, texts[1].index(a))]
+    assert [(s.kept_doc_id, s.kept_start) for s in got[7].removed] == [(2, texts[2].index(b))]
+    assert [[texts[i][s.start : s.end] for s in got[i].repeated_lines] for i in (3, 6)] == [["All rights reserved."]] * 2
+
+
+def test_passages_of_odd_rows(spark):
+    got = line_dedup.dedup_passages(odd_docs(spark)).collect()
+    assert len(got) == len(odd_rows())
+    assert sorted((r.doc_id, r.kept_text) for r in got if r.changed and r.doc_id != 9) == [(5, ""), (5, ""), (6, "")]
+    long = next(r for r in got if r.doc_id == 9)  # its words come round after a while
+    assert long.kept_text.split() == brute_passages({9: prose(9, 30_000)})[9]
+    assert next(r for r in got if r.doc_id == 1).kept_text is None
+    assert line_dedup.dedup_passages(no_docs(spark)).count() == 0
+
+
+def test_passages_of_the_table_by_brute_force(spark):
+    """The registered query cuts every word of a repeated run of 50 words and no other word."""
+    texts = {r.doc_id: r.text for r in read(spark, DATA, "documents").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in queries.op2_line_dedup(spark, DATA).collect()}
+    want = brute_passages(texts)
+    assert {i: re.findall(r"[^\W_]+", (r.kept_text or "").lower()) for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r.changed} == {i for i, t in texts.items() if len(want[i]) < len(re.findall(r"[^\W_]+", t or ""))}
+
+
 URLS = {
     1: ("https://WWW.Example.com/en/a?x", "www.example.com", "/en/a", "www.example.com/en/", "allow"),
     2: ("http://a.example.com/en/#t", "a.example.com", "/en/", "example.com/en/", "block"),
