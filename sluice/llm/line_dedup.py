@@ -231,8 +231,9 @@ class Words:
         short, width = min(NAME_WORDS, least), 1
         while width < short:  # what is combined may overlap, as all of it is of the same words
             step = min(width, short - width)
-            grams, width = _mix(grams[:-step] * np.uint64(0x9E3779B97F4A7C15) + grams[step:]), width + step
-        names, width, wanted = grams, 1, least - short + 1
+            grams, width = grams[:-step] * np.uint64(0xD1B54A32D192ED03) + grams[step:], width + step
+        names = grams = _mix(grams)
+        width, wanted = 1, least - short + 1
         while width < wanted:
             step = min(width, wanted - width)
             names, width = np.minimum(names[:-step], names[step:]), width + step
@@ -301,18 +302,18 @@ def single_runs(texts: DataFrame, least: int) -> DataFrame:
     return map_batches(texts, made, _STRETCH_SQL)
 
 
-def _first_places(found: DataFrame, label: str) -> DataFrame:
+def _first_places(found: DataFrame) -> DataFrame:
     """One row per digest: its first place by (doc_id, row_no, word), how often it occurs, its name and ``own``."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_no", "first", "start", "n")
     first = (F.min(place).alias("kept"), F.count(F.lit(1)).alias("times"), F.min("name").alias("name"), F.max("own").alias("own"))
-    return materialise(found.groupBy("digest").agg(*first), label)
+    return found.groupBy("digest").agg(*first)
 
 
-def _shared(found: DataFrame, label: str) -> DataFrame:
-    """The rows whose name others have, or which may repeat themselves, and a small share of the others."""
+def _shared(found: DataFrame) -> DataFrame:
+    """The rows whose name others have, or which may repeat themselves, and a share of the others: a small one where up
+    to an eighth of the names are such."""
     counted = found.groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.max("own").alias("own"))
-    names = materialise(counted.where("times > 1 or own").select("name"), label)
-    return pick_ids(found, names, names.count(), "name")
+    return pick_ids(found, counted.where("times > 1 or own").select("name"), found.count() // 8, "name")
 
 
 def _later_places(found: DataFrame, places: DataFrame) -> DataFrame:
@@ -331,18 +332,13 @@ def _later_places(found: DataFrame, places: DataFrame) -> DataFrame:
 def _repeated_runs(rows: DataFrame, least: int) -> DataFrame:
     """(row_no, runs): every run of ``least`` words of a row that stands at an earlier place too, by first word; runs
     that follow each other may be one entry."""
-    found = materialise(_shared(materialise(stretches(rows, least), "stretches"), "names"), "shared")
-    places = _first_places(found, "places")
-    ranges = materialise(
-        _shared(places, "mixed")
-        .groupBy(F.col("kept.row_no").alias("row_no"))
-        .agg(F.collect_list(F.struct("kept.first", "kept.n")).alias("ranges")),
-        "ranges",
-    )
-    texts = pick_ids(rows, ranges, ranges.count(), "row_no").join(ranges, "row_no")
+    found = materialise(_shared(materialise(stretches(rows, least), "stretches")), "shared")
+    places = materialise(_first_places(found), "places")
+    ranges = _shared(places).groupBy(F.col("kept.row_no").alias("row_no")).agg(F.collect_list(F.struct("kept.first", "kept.n")).alias("ranges"))
+    texts = pick_ids(rows, ranges, places.count() // 8, "row_no").join(ranges, "row_no")
     single = materialise(single_runs(texts, least), "runs").withColumn("name", F.xxhash64("digest"))
-    runs = materialise(_shared(single, "run-names"), "shared-runs")
-    later = _later_places(found, places).unionByName(_later_places(runs, _first_places(runs, "run-places")))
+    runs = materialise(_shared(single), "shared-runs")
+    later = _later_places(found, places).unionByName(_later_places(runs, _first_places(runs)))
     run = F.struct("first", "n", "kept_row_no", "kept_doc_id", "kept_start")
     return later.groupBy("row_no").agg(F.sort_array(F.collect_list(run)).alias("runs"))
 
