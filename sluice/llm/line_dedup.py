@@ -35,7 +35,17 @@ PASSAGE_WORDS = 50
 NAME_WORDS = 16
 
 _KEPT = "array<struct<start: bigint, end: bigint, kept_doc_id: bigint, kept_start: bigint>>"
-_NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD = re.compile(r"(?:[^\w\n]|_)+")
+_LATIN_WORDS = bytes(c if chr(c).isalnum() or c == 10 else 32 for c in range(256))
+
+
+def _spaced(text: str) -> str:
+    """The text in lower case with spaces for all but letters, digits and line breaks."""
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(_LATIN_WORDS).decode("latin-1")
+    except UnicodeEncodeError:
+        return _NOT_WORD.sub(" ", low)
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, int]]:
@@ -51,9 +61,9 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[bytes, int, i
             yield hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest(), start, end
 
     start, first, lines, all_words, total = 0, 0, 0, [], 0
-    for line in text.split("\n"):
+    for line, spaced in zip(text.split("\n"), _spaced(text).split("\n"), strict=True):
         end = min(len(text), start + len(line) + 1)
-        words = _NOT_WORD.sub(" ", line.lower()).split()
+        words = spaced.split()
         count, words = len(words), words or line.split()
         if words:
             if not lines:
@@ -219,14 +229,13 @@ class Words:
         edges[1:] = np.where(edges[1:] > ends[:-1], edges[1:], starts[1:])
         edges[:1] = 0
         self.edges: list[int] = [*edges.tolist(), len(text)]
-        self._raw, self._at = b"", []
 
-    def stretches(self, least: int) -> Iterator[tuple[int, int, int, bool]]:
-        """(first, number of runs, name, whether it may hold a run twice) of each stretch of runs of ``least`` words with
-        one name, which is the least hash of the runs of NAME_WORDS words in a run."""
+    def stretches(self, least: int) -> tuple[list[int], list[int], list[int], list[bool]]:
+        """First word, number of runs, name, and whether it may hold a run twice, of each stretch of runs of ``least``
+        words with one name, which is the least hash of the runs of NAME_WORDS words in a run."""
         at = np.cumsum(self.lengths) - self.lengths
         within = np.arange(len(self.low)) - np.repeat(at, self.lengths)
-        letters = self.low * _factors()[within % (1 << 16)]
+        letters = self.low * _factors()[within % len(_factors())]
         grams = _mix(np.add.reduceat(letters, at) + self.lengths.astype(np.uint64))
         short, width = min(NAME_WORDS, least), 1
         while width < short:  # what is combined may overlap, as all of it is of the same words
@@ -239,18 +248,20 @@ class Words:
             names, width = np.minimum(names[:-step], names[step:]), width + step
         firsts = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1))
         counts = np.diff(firsts, append=len(names))
-        twice = len(np.unique(grams)) < len(grams)
-        for first, n, name in zip(firsts.tolist(), counts.tolist(), names[firsts].view(np.int64).tolist(), strict=True):
-            yield first, n, name, twice and bool(np.count_nonzero(grams[first : first + n + wanted - 1] == names[first]) > 1)
-
-    def digest(self, first: int, stop: int) -> bytes:
-        """128 bits for the words in [first, stop)."""
-        if not self._raw:
-            spaced = np.full(len(self.low) + self.count, 32, np.uint32)
-            spaced[np.arange(len(self.low)) + np.repeat(np.arange(1, self.count + 1), self.lengths)] = self.low
-            self._raw = spaced.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-            self._at = [*np.flatnonzero(np.frombuffer(self._raw, np.uint8) == 32).tolist(), len(self._raw)]
-        return hashlib.blake2b(self._raw[self._at[first] : self._at[stop]], digest_size=16).digest()
+        found, own = names[firsts], [False] * len(firsts)
+        if len(np.unique(grams)) < len(grams):
+            spans = zip(firsts.tolist(), counts.tolist(), found, strict=True)
+            own = [bool(np.count_nonzero(grams[f : f + n + wanted - 1] == name) > 1) for f, n, name in spans]
+        return firsts.tolist(), counts.tolist(), found.view(np.int64).tolist(), own
+
+    def digests(self, firsts: list[int], stops: list[int]) -> list[bytes]:
+        """128 bits for the words in each [first, stop)."""
+        spaced = np.full(len(self.low) + self.count, 32, np.uint32)
+        spaced[np.arange(len(self.low)) + np.repeat(np.arange(1, self.count + 1), self.lengths)] = self.low
+        raw = spaced.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        at = [*np.flatnonzero(np.frombuffer(raw, np.uint8) == 32).tolist(), len(raw)]
+        blake2b = hashlib.blake2b
+        return [blake2b(raw[at[first] : at[stop]], digest_size=16).digest() for first, stop in zip(firsts, stops, strict=True)]
 
 
 _STRETCH = dict.fromkeys(("doc_id", "row_no", "first", "n", "start", "name"), pa.int64()) | {"own": pa.bool_(), "digest": pa.binary()}
@@ -274,10 +285,11 @@ def stretches(rows: DataFrame, least: int) -> DataFrame:
                     words = Words(text or "")
                     if words.count < least:
                         continue
-                    for first, n, name, own in words.stretches(least):
-                        digest = words.digest(first, first + n + least - 1)
-                        for column, value in zip(out, (doc_id, row_no, first, n, words.edges[first], name, own, digest), strict=True):
-                            column.append(value)
+                    firsts, counts, names, own = words.stretches(least)
+                    digests = words.digests(firsts, [f + n + least - 1 for f, n in zip(firsts, counts, strict=True)])
+                    same, starts = ([doc_id] * len(firsts), [row_no] * len(firsts)), [words.edges[f] for f in firsts]
+                    for column, values in zip(out, (*same, firsts, counts, starts, names, own, digests), strict=True):
+                        column += values
                 yield _stretch_batch(out)
 
     return map_batches(rows, made, _STRETCH_SQL)
@@ -295,9 +307,8 @@ def single_runs(texts: DataFrame, least: int) -> DataFrame:
                 for some in (places[i : i + (1 << 16)] for i in range(0, len(places), 1 << 16)):
                     n = len(some)
                     same = [[row["doc_id"]] * n, [row["row_no"]] * n, some, [1] * n]
-                    yield _stretch_batch(
-                        [*same, [words.edges[f] for f in some], [0] * n, [False] * n, [words.digest(f, f + least) for f in some]]
-                    )
+                    digests = words.digests(some, [f + least for f in some])
+                    yield _stretch_batch([*same, [words.edges[f] for f in some], [0] * n, [False] * n, digests])
 
     return map_batches(texts, made, _STRETCH_SQL)
 
@@ -318,7 +329,7 @@ def _shared(found: DataFrame) -> DataFrame:
 
 def _later_places(found: DataFrame, places: DataFrame) -> DataFrame:
     """(row_no, first, n, kept_row_no, kept_doc_id, kept_start) of what is not the first of its digest."""
-    again = places.where("times > 1").select("digest", "kept", "times")
+    again = materialise(places.where("times > 1").select("digest", "kept", "times"), "again")
     return (
         join_groups(found, again, "digest", "times", found.count())
         .where((F.col("row_no") != F.col("kept.row_no")) | (F.col("first") != F.col("kept.first")))
@@ -335,7 +346,7 @@ def _repeated_runs(rows: DataFrame, least: int) -> DataFrame:
     found = materialise(_shared(materialise(stretches(rows, least), "stretches")), "shared")
     places = materialise(_first_places(found), "places")
     ranges = _shared(places).groupBy(F.col("kept.row_no").alias("row_no")).agg(F.collect_list(F.struct("kept.first", "kept.n")).alias("ranges"))
-    texts = pick_ids(rows, ranges, places.count() // 8, "row_no").join(ranges, "row_no")
+    texts = pick_ids(rows, ranges, places.count(), "row_no").join(ranges, "row_no")
     single = materialise(single_runs(texts, least), "runs").withColumn("name", F.xxhash64("digest"))
     runs = materialise(_shared(single), "shared-runs")
     later = _later_places(found, places).unionByName(_later_places(runs, _first_places(runs)))
