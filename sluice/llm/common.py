@@ -22,6 +22,8 @@ BATCH_ROWS = 1_000
 DEFAULT_BATCH_ROWS = 10_000
 #: Narrow rows that one task may hold of one join key.
 ONE_TASK_ROWS = 1_000_000
+#: Narrow rows to a file of an intermediate table, where it is known how many rows the table can have.
+FILE_ROWS = 50_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _local_dir: str | None = None
@@ -41,12 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialise(df: DataFrame, label: str, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy", by: Sequence[str] = (), at_most: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost no recompute.
 
-    With ``by``, in folders by the values of those columns. The folder is removed when the application ends.
+    With ``by``, in folders by the values of those columns. With ``at_most``, the most (narrow) rows there can be, in no
+    more files than one for each FILE_ROWS of them, however many partitions a shuffle has: on a local file system an
+    executor starts several processes (chmod) for every file. The folder is removed when the application ends.
     """
-    return materialise_all([df], label, codec, by)
+    return materialise_all([df if at_most is None else df.coalesce(max(1, -(-at_most // FILE_ROWS)))], label, codec, by)
 
 
 def materialise_all(parts: Iterable[DataFrame], label: str, codec: str = "snappy", by: Sequence[str] = ()) -> DataFrame:

@@ -365,43 +365,44 @@ def in_blocks(members: DataFrame, total: int) -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected part.
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
+    """(node, label): the smallest node of each connected part; ``at_most`` is the most edges there can be.
 
     Each level hooks every node to its smallest neighbour if that is smaller, follows the hooks to their roots, and goes
     on with the edges that are left between roots, each once; so the edges shrink from level to level. A node that is the
-    root of many, or an end of many edges, is no join key of one task.
+    root of many, or an end of many edges, is no join key of one task. Tables are written in as few files as their rows
+    need, but for the first where ``at_most`` is not told.
     """
 
-    def between(pairs: DataFrame) -> DataFrame:
-        return materialise(
-            pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-        )
+    def between(pairs: DataFrame, at_most: int | None = None) -> DataFrame:
+        ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return materialise(ordered.distinct(), "edges", at_most=at_most)
 
     def step(upper: DataFrame) -> DataFrame:
         return upper.select(F.col("node").alias("up"), F.col("up").alias("far"))
 
-    left, levels = between(edges.select("a", "b")), []
-    while not levels or not left.isEmpty():
+    left, levels = between(edges.select("a", "b"), at_most), []
+    while (count := left.count()) or not levels:
         ends = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        roots = materialise(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks")
+        roots = materialise(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("up")), "hooks", at_most=2 * count)
         while True:
             hops = join_unique(roots, step(roots), "up", hot_keys(roots, "up"))
-            roots = materialise(hops.select("node", F.col("far").alias("up"), (F.col("far") < F.col("up")).alias("moved")), "hooks")
+            followed = hops.select("node", F.col("far").alias("up"), (F.col("far") < F.col("up")).alias("moved"))
+            roots = materialise(followed, "hooks", at_most=2 * count)
             if roots.where("moved").isEmpty():
                 break
             roots = roots.select("node", "up")
         roots = roots.select("node", "up")
-        levels.append(roots)
+        levels.append((roots, 2 * count))
         of = lambda end: roots.select(F.col("node").alias(end), F.col("up").alias(f"{end}_root"))  # noqa: B023, E731
         moved = join_unique(join_unique(left, of("a"), "a", hot_keys(left, "a")), of("b"), "b", hot_keys(left, "b"))
-        left = between(moved.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-    labels = levels.pop().withColumnRenamed("up", "label")
+        left = between(moved.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), count)
+    labels = levels.pop()[0].withColumnRenamed("up", "label")
     while levels:
         later = labels.select(F.col("node").alias("up"), "label")
-        lower = levels.pop()
+        lower, nodes = levels.pop()
         named = join_unique(lower, later, "up", hot_keys(lower, "up"), "left")
-        labels = materialise(named.select("node", F.coalesce("label", "up").alias("label")), "labels")
+        labels = materialise(named.select("node", F.coalesce("label", "up").alias("label")), "labels", at_most=nodes)
     return labels
 
 
@@ -423,11 +424,13 @@ def classified(docs: DataFrame) -> DataFrame:
     """What ``near_duplicates`` tells, with ``tie`` (a hash of the text) and ``label``, which names a class even where
     ids are null or repeated (null for a text without a word)."""
     sketches = materialise(sketched(docs).withColumn("row_no", F.monotonically_increasing_id()), "sketches")
+    documents = sketches.count()
     groups = materialise(
         sketches.where("n > 0")
         .groupBy("digest")
         .agg(F.min("row_no").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")),
         "representatives",
+        at_most=documents,
     )
     total = groups.count()
     signed = sketches.select(F.col("row_no").alias("rep"), "n", "sig", "bands")
@@ -436,7 +439,7 @@ def classified(docs: DataFrame) -> DataFrame:
     met = met.repartition("key", "blocks").sortWithinPartitions("key", "blocks", "rep")
     parts = components(map_batches(met, candidate_edges, "a bigint, b bigint"))
     named = sketches.select(F.col("row_no").alias("node"), F.col("doc_id").alias("own_id"), "digest")
-    joined = materialise(parts.join(groups.select(F.col("rep").alias("node"), "copies"), "node").join(named, "node"), "parts")
+    joined = materialise(parts.join(groups.select(F.col("rep").alias("node"), "copies"), "node").join(named, "node"), "parts", at_most=total)
     dealt = in_blocks(joined.select(F.col("label").alias("key"), F.col("node").alias("rep")), total)
     placed = dealt.join(joined.select(F.col("node").alias("rep"), "copies", "own_id", F.col("digest").alias("own_digest")), "rep")
     texts = doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -445,7 +448,7 @@ def classified(docs: DataFrame) -> DataFrame:
     held = held.select("key", "blocks", "rep", "first", "cross", "copies", "grams")
     dealt = held.repartition("key", "blocks").sortWithinPartitions("key", "blocks", "rep")
     counted = materialise(map_batches(dealt, verified, "rep bigint, links bigint, root bigint"), "links")
-    classes = components(counted.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    classes = components(counted.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), counted.count())
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     labelled = materialise(
         groups.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
@@ -453,13 +456,14 @@ def classified(docs: DataFrame) -> DataFrame:
         .withColumn("label", F.coalesce("label", "rep"))
         .withColumn("links", F.coalesce("links", F.lit(0))),
         "labelled",
+        at_most=total,
     )
     by_class = labelled.groupBy("label").agg(
         F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members")
     )
-    full = materialise(join_groups(labelled, by_class, "label", "members", total), "classes")
+    full = materialise(join_groups(labelled, by_class, "label", "members", total), "classes", at_most=total)
     rows = sketches.select("doc_id", "tie", "digest", "n")
-    told = join_groups(rows.where("n > 0"), full.select("digest", "class_id", "class_size", "links", "copies", "label"), "digest", "copies", rows.count())
+    told = join_groups(rows.where("n > 0"), full.select("digest", "class_id", "class_size", "links", "copies", "label"), "digest", "copies", documents)
     worded = told.select("doc_id", "tie", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size")
     alone = [F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size")]
     return worded.unionByName(rows.where("n = 0").select("doc_id", "tie", *alone))
@@ -476,5 +480,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays = shared.groupBy("label").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__other"))
     rows = shared.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("rows"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__other"))
-    judged = materialise(rows.join(stays, same, "left").withColumn("stays", F.col("__other").isNotNull()).select("doc_id", "tie", "rows", "stays"), "judged")
+    marked = rows.join(stays, same, "left").withColumn("stays", F.col("__other").isNotNull()).select("doc_id", "tie", "rows", "stays")
+    judged = materialise(marked, "judged", at_most=shared.count())
     return drop_rows(docs, judged.where("not stays"), judged.where("stays and rows > 1"))

@@ -131,6 +131,33 @@ def test_components_with_hubs(spark, monkeypatch):
     assert {r.node: r.label for r in near_dup.components(table).collect()} == expected
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: what a step of a few rows writes is one file, or as many as its rows need."""
+    files, plain = [], common.materialise_all
+
+    def counted(parts, label, *more):
+        table = plain(parts, label, *more)
+        files.append((label, len(table.inputFiles())))
+        return table
+
+    monkeypatch.setattr(common, "materialise_all", counted)
+    rows = family(0, prose(1, 120), 12) + family(100, prose(2, 200), 9, 3) + odd_rows()
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert result(spark, rows) == brute(rows)
+        few = {label: n for label, n in files if label in ("hooks", "parts", "representatives", "labelled", "classes")}
+        assert set(few.values()) == {1} and len(few) == 5
+        monkeypatch.setattr(common, "FILE_ROWS", 10)
+        assert result(spark, rows) == brute(rows)
+        assert 1 < max(n for label, n in files if label == "representatives") <= -(-len(rows) // 10)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_one_tells_rows_apart(spark):
     """An id on several texts: one row of each class stays, and nothing else goes; rows without an id rank last."""
     a, b, c, d, e = (prose(k, 60) for k in (1, 2, 3, 4, 8))
