@@ -15,6 +15,8 @@ from ..errors import CommitConflict
 RENAMES = ("file", "hdfs", "viewfs", "abfs", "abfss")
 #: Fixed value: Hadoop's option for a create that the store itself refuses if the object is there.
 CONDITIONAL = "fs.option.create.conditional.overwrite"
+#: Classes of file systems of the scheme ``file`` where a file is what lies at its path (Spark brings Hive's).
+LOCAL = ("org.apache.hadoop.fs.LocalFileSystem", "org.apache.hadoop.fs.RawLocalFileSystem", "org.apache.hadoop.hive.ql.io.ProxyLocalFileSystem")
 
 _local_dir: str | None = None
 
@@ -37,6 +39,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path without its scheme if it is one of Hadoop's own local file system, which takes files from any process."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = fs.getUri().getScheme() == "file" and fs.getClass().getName() in LOCAL
+    return fs.makeQualified(jpath).toUri().getPath() if own else None
+
+
 class Storage(Protocol):
     """What a warehouse needs of a store beside Spark's own readers and writers. Paths are URIs that Spark reads."""
 

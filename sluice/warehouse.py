@@ -1,7 +1,7 @@
 """The warehouse: registered tables under one root folder, staged batches in, merged snapshots out.
 
     {root}/staging/{table}/{source}/{batch}                    rows that wait, with _part and _arrived
-    {root}/tables/{table}/data/_commit={c}/_part=/_file=       sorted files
+    {root}/tables/{table}/data/_commit={c}/_part=/_file=       sorted files; on a local disk a folder for each task
     {root}/tables/{table}/manifests/{commit}                   JSON manifests of the partitions that the commit touched
     {root}/tables/{table}/commits/{commit}.json                what makes a commit: it appears whole, or not at all
 
@@ -31,7 +31,7 @@ from .model import Subscription, TableDef
 from .operators import layout, merge, staging, validate
 from .operators.layout import FILE, PART
 from .sources import manifests
-from .sources.storage import Storage, Store
+from .sources.storage import Storage, Store, local_path
 
 FULL_EVERY = 16
 #: How often a commit is tried anew when another writer was faster.
@@ -285,9 +285,9 @@ class Warehouse:
         current = known.join(touched.select("partition_key"), "partition_key", "left_semi").select(*known.columns)
         held = F.aggregate("objects", F.lit(0).cast("long"), lambda s, o: s + o["num_rows"])
         sizes = touched.join(current.select("partition_key", held.alias("__held")), "partition_key", "left").agg(
-            F.max(F.col("__new") + F.coalesce("__held", F.lit(0))), F.sum("__new")
+            F.max(F.col("__new") + F.coalesce("__held", F.lit(0))), F.sum(F.col("__new") + F.coalesce("__held", F.lit(0))), F.sum("__new")
         )
-        most, new_rows = sizes.first()
+        most, all_rows, new_rows = sizes.first()
         names = [c for c in new.columns if c != PART]
         if definition.audit:
             new = self._with_audit_columns(new)
@@ -298,8 +298,14 @@ class Warehouse:
         state = merge.apply_with_audit(judged, F.current_timestamp()) if definition.audit else merge.apply(judged).select(*names)
         state = state.withColumn(PART, partition_key(state, definition.partitions))
         data = f"{home}/data/_commit={number}-{uuid.uuid4().hex[:8]}"
-        layout.write_files(layout.with_field_ids(state), definition.keys, definition.options.file_rows, data, most or 0, f"{home}/drafts/{uuid.uuid4().hex}")
-        files = self._files(data, state.schema, home)
+        drafts = f"{home}/drafts/{uuid.uuid4().hex}"
+        numbered = layout.numbered_files(layout.with_field_ids(state), definition.keys, definition.options.file_rows, most or 0, all_rows or 0, f"{drafts}-ranges")
+        local = local_path(self.spark, data) if layout.plain(state.schema) else None
+        if local is not None:
+            files = layout.write_local_files(numbered, data, local, f"{drafts}-files").withColumn("key", F.concat(F.lit("data/"), "key"))
+        else:
+            layout.write_files(numbered, data)
+            files = self._files(data, state.schema, home)
         built = manifests.build(files, F.lit(table), F.lit(0)).select("partition_key", "objects")
         next_state = (
             touched.join(current.select("partition_key", F.col("version").alias("__before")), "partition_key", "left")
@@ -316,6 +322,8 @@ class Warehouse:
             next_state = next_state.unionByName(known.join(touched, "partition_key", "left_anti").select(*next_state.columns))
         written = f"{home}/manifests/{number}-{uuid.uuid4().hex[:8]}"
         manifests.to_text(next_state).write.text(written)
+        for kind in ("ranges", "files"):
+            self.store.remove(f"{drafts}-{kind}")
         still = [c for c in last["consumed"] if self.store.exists(f"{self.root}/staging/{table}/{c}")]
         streams = dict(last["streams"])
         if batch_id is not None:

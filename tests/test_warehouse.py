@@ -427,3 +427,40 @@ def test_tasks():
     with pytest.raises(ValueError):
         tasker.run_next()
     assert tasker.length("slow") == 1
+
+
+def test_files_are_written_by_the_tasks(spark, tmp_path, monkeypatch):
+    """No process is started for a file and its checksum; rows and manifests are those of Spark's writer."""
+    types = {"k": "long", "s": "string", "d": "date", "t": "timestamp", "u": "timestamp_ntz", "n": "decimal(20,2)", "b": "binary", "f": "float", "h": "smallint", "y": "boolean"}
+    frame = spark.range(35).select(F.when(F.col("id") % 5 != 0, F.col("id")).alias("x"), F.col("id").alias("k"))
+    casts = {"d": "date_add(date'1500-03-01', int(x))", "t": "timestamp_seconds(x * -3e8)", "u": "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, int(x))", "b": "encode(string(x), 'UTF-8')", "y": "x % 2 = 0"}
+    frame = frame.selectExpr("k", *[f"cast({casts.get(n, 'x')} as {t}) as {n}" for n, t in types.items() if n != "k"])
+    columns = tuple(frame.schema.fields)
+    monkeypatch.setattr(layout, "FLUSH_BYTES", 1)
+    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {}
+    for way in ("tasks", "spark"):
+        if way == "spark":
+            monkeypatch.setattr("sluice.warehouse.local_path", lambda spark, path: None)
+        house = Warehouse(spark, f"file://{tmp_path}/{way}")
+        group = SubscriptionGroup("g", (Subscription("a", columns),))
+        house.add_tables(TableDef("t", columns).with_partition("k", IntegerRange(10)).with_group(group).with_options(TableOptions(file_rows=4)))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        try:
+            house.commit("t", {"external.a": frame})
+            house.commit("t", {"external.a": frame.where("k between 8 and 11").withColumn("h", F.lit(1).cast("smallint"))})
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+        named = [[(o["index"], o["num_rows"], o["key"]) for o in house.manifest("t", p)["objects"]] for p in "0123"]
+        keys = [[pq.read_table(f"{tmp_path}/{way}/tables/t/{key}").column("k").to_pylist() for *_, key in part] for part in named]
+        assert all((tmp_path / way / "tables/t" / part[0][2]).parent.joinpath(f".{part[0][2].rpartition('/')[2]}.crc").exists() == (way == "spark") for part in named)
+        found[way] = sorted(map(repr, house.read("t").collect())), sorted(map(repr, house.read("t", index=1).collect())), [[f[:2] for f in part] for part in named], keys
+    assert found["tasks"] == found["spark"]
+    assert len(found["tasks"][0]) == 35 and found["tasks"][2][0] == [(0, 4), (1, 4), (2, 2)]
+
+
+def test_even_partitions_are_shuffled_once(spark):
+    frame = spark.range(1000).selectExpr("id as k", "string(id div 10) as _part")
+    plans = [layout.numbered_files(frame, ["k"], 4, 10, total)._jdf.queryExecution().executedPlan().toString() for total in (100, 1000)]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 1]
+    assert plans[1].count("Sort [") == 1
