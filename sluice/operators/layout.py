@@ -99,8 +99,8 @@ def write_local_files(numbered: DataFrame, path: str, local: str, listed: str) -
     share: written by the tasks themselves.
 
     Hadoop without its native library starts a process (chmod) for every file, its checksum and its folder, which takes
-    most of the time where files are small. Each attempt of a task writes to a folder of its own beside ``path``, and
-    only the files of attempts that Spark accepts are listed. The list, (partition_key, key, index, num_rows) with keys
+    most of the time where files are small. Each attempt of a task writes to a folder of its own beside ``path``, with one
+    folder for all files that it has of a partition, and only the files of attempts that Spark accepts are listed. The list, (partition_key, key, index, num_rows) with keys
     from the last folder of ``path`` on, is kept in the folder ``listed``.
     """
     name, version, part, file, flush = path.rpartition("/")[2], numbered.sparkSession.version, PART, FILE, FLUSH_BYTES
@@ -114,18 +114,19 @@ def write_local_files(numbered: DataFrame, path: str, local: str, listed: str) -
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
-        attempt, count = uuid.uuid4().hex[:12], 0
+        attempt = uuid.uuid4().hex[:12]
         now = writer = schema = None
         pieces, rows = [], 0
 
-        def where(of):
-            return f"{part}={of[0]}/{file}={of[1]}"
+        def where(of):  # a folder for each partition, so that there is little to list
+            return f"{part}={of[0]}/{file}=all", f"part-{of[1]}.snappy.parquet"
 
         def flush_pieces():
             nonlocal writer
             if writer is None:
-                os.makedirs(f"{local}-{attempt}/{where(now)}")
-                writer = pq.ParquetWriter(f"{local}-{attempt}/{where(now)}/part-0.snappy.parquet", schema, compression="snappy")
+                folder, own_name = where(now)
+                os.makedirs(f"{local}-{attempt}/{folder}", exist_ok=True)
+                writer = pq.ParquetWriter(f"{local}-{attempt}/{folder}/{own_name}", schema, compression="snappy")
             writer.write_table(pa.Table.from_batches(pieces, schema))
             pieces.clear()
 
@@ -134,7 +135,7 @@ def write_local_files(numbered: DataFrame, path: str, local: str, listed: str) -
             flush_pieces()
             writer.close()
             writer = None
-            key = f"{name}-{attempt}/{where(now)}/part-0.snappy.parquet"
+            key = "/".join([f"{name}-{attempt}", *where(now)])
             return pa.RecordBatch.from_pydict({"partition_key": [now[0]], "key": [key], "index": pa.array([now[1]], pa.int32()), "num_rows": pa.array([rows], pa.int64())})
 
         for batch in batches:

@@ -1,7 +1,8 @@
 """The warehouse: registered tables under one root folder, staged batches in, merged snapshots out.
 
     {root}/staging/{table}/{source}/{batch}                    rows that wait, with _part and _arrived
-    {root}/tables/{table}/data/_commit={c}/_part=/_file=       sorted files; on a local disk a folder for each task
+    {root}/tables/{table}/data/_commit={c}/_part=/_file=       sorted files; on a local disk _commit is of one task and
+                                                               _file=all holds all that the task has of a partition
     {root}/tables/{table}/manifests/{commit}                   JSON manifests of the partitions that the commit touched
     {root}/tables/{table}/commits/{commit}.json                what makes a commit: it appears whole, or not at all
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from threading import Event
 from typing import Any
@@ -36,6 +38,9 @@ from .sources.storage import Storage, Store, local_path
 FULL_EVERY = 16
 #: How often a commit is tried anew when another writer was faster.
 ATTEMPTS = 5
+#: Tasks on every core, at most, that list the folders of a table.
+LISTING_TASKS = 4
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 _ARRIVED = "_arrived"
 _ROUND, _WAVE = "_round", "_wave"
 
@@ -398,7 +403,7 @@ class Warehouse:
         stored = self._last(table)["schema"]
         stored = T.StructType.fromJson(stored) if stored else schema or T.StructType(list(self.table(table).columns))
         wanted = F.lit(True) if index is None else F.col("o.index") == index
-        shape = rf"^(data/[^/]+/{PART}=[^/]+)/" if index is None else r"^(.*)/[^/]+$"
+        shape = rf"^(data/[^/]+/{PART}=[^/]+)/" if index is None else r"^(.*)$"
         judged = current.select(manifests.is_valid(F.struct(*manifests.MANIFEST.names)).alias("valid"), "partition_key", F.explode_outer("objects").alias("o"))
         folder = F.when(F.col("valid") & wanted, F.regexp_extract("o.key", shape, 1)).when(~F.col("valid"), F.concat(F.lit("!"), "partition_key"))
         folders = [r[0] for r in judged.select(folder.alias("folder")).where("folder is not null").distinct().collect()]
@@ -407,9 +412,21 @@ class Warehouse:
         if not folders:
             return self.spark.createDataFrame([], stored)
         home = f"{self.root}/tables/{table}"
-        found = self.spark.read.option("basePath", f"{home}/data").schema(stored).parquet(*[f"{home}/{f}" for f in folders])
+        with self._few_listing_tasks():
+            found = self.spark.read.option("basePath", f"{home}/data").schema(stored).parquet(*[f"{home}/{f}" for f in folders])
         return found.select(*[F.col(f"`{n}`") for n in stored.names])
 
+    @contextmanager
+    def _few_listing_tasks(self) -> Iterator[None]:
+        """Let a task list many folders: Spark starts one for each (10,000 at most), which takes longer than the listing."""
+        conf, few = self.spark.conf, LISTING_TASKS * self.spark.sparkContext.defaultParallelism
+        before = conf.get(_LISTING, None)
+        conf.set(_LISTING, str(min(few, int(before or few))))
+        try:
+            yield
+        finally:
+            conf.unset(_LISTING) if before is None else conf.set(_LISTING, before)
+
     def read(self, table: str, keys: Iterable[str] | None = None, index: int | None = None) -> DataFrame:
         """The table's current rows: of all partitions or those named, of all their files or the one at ``index``."""
         self.table(table)

@@ -464,3 +464,13 @@ def test_even_partitions_are_shuffled_once(spark):
     plans = [layout.numbered_files(frame, ["k"], 4, 10, total)._jdf.queryExecution().executedPlan().toString() for total in (100, 1000)]
     assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 1]
     assert plans[1].count("Sort [") == 1
+
+
+def test_folders_are_listed_by_few_tasks(spark, house, monkeypatch):
+    name, seen, real = "spark.sql.sources.parallelPartitionDiscovery.parallelism", [], type(spark.read).parquet
+    house.add_tables(table())
+    house.commit("t", {"external.a": rows(spark, (1, "x"), (11, "y"))})
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths: (seen.append(int(spark.conf.get(name))), real(self, *paths))[1])
+    before = spark.conf.get(name)
+    assert state(house) == [(1, "x"), (11, "y")]
+    assert seen == [4 * spark.sparkContext.defaultParallelism] and spark.conf.get(name) == before == "10000"
